@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomspark.llm import mixing, simhash
+from loomspark.llm import mixing, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op3_url_filters": urlfilter.op3_url_filters,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
+    "op3_url_filters": urlfilter.OP3_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
