@@ -5,7 +5,7 @@ are one), everything else to spaces. The lexicon holds folded words and word beg
 weight. It is learned from labelled documents: Spark counts in how many toxic and clean texts a term
 occurs, a likelihood-ratio test against chance over all terms tried selects terms, and words that a
 selected beginning would hit but that clean texts use become exception phrases. A hit inside an exception
-phrase doesn't count. The sum of weights s becomes s / (s + 2 (1 + ln(1 + words / 100))), between 0 and
+phrase doesn't count. The sum of weights s becomes s / (s + 6 (1 + ln(1 + words / 100))), between 0 and
 1, so longer texts need more. Fitting uses at most max_labels labelled rows (the smallest CRC-32 of
 their doc_id); scoring reads whole texts of all rows.
 
@@ -36,6 +36,8 @@ LENGTHS = (4, 5, 6, 8)
 #: Bounds of the model: labelled rows it is fitted on, terms it keeps.
 MAX_LABELS = 20_000
 MAX_TERMS = 5_000
+#: The least share of toxic texts among those that hold a term of the lexicon.
+PURITY = 0.97
 
 
 class _Fold(dict):
@@ -95,7 +97,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS
     share = F.col("t") / (F.col("t") + F.col("c"))
     gain = F.col("t") * F.log(share / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    chosen = counts.where((F.col("term") != "") & (F.col("t") > 0)).where((share >= 0.6) & (gain >= math.log(n_terms) + 2)).select("term", weight.alias("weight"))
+    chosen = counts.where((F.col("term") != "") & (F.col("t") > 0)).where((share >= PURITY) & (gain >= math.log(n_terms) + 2)).select("term", weight.alias("weight"))
     lexicon = [(r["term"], r["weight"]) for r in chosen.orderBy(F.desc("weight"), "term").limit(max_terms).collect()]
     begins = [x for x, _ in lexicon if not x.endswith(" ")]
     if not begins:
@@ -133,7 +135,7 @@ def scorer(lexicon: Sequence[tuple[str, float]], exceptions: Sequence[str]):
         if not best:
             return 0.0, 0
         total, words = sum(best.values()), folded.count(" ") - 1
-        return total / (total + 2 * (1 + math.log1p(words / 100))), len(best)
+        return total / (total + 6 * (1 + math.log1p(words / 100))), len(best)
 
     return score
 
