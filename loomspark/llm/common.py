@@ -66,3 +66,13 @@ def hashed(text: Column, pattern: str = "(?U)[^\\p{L}\\p{N}]+") -> Column:
     """Hashes of the words of a normalised text (lower case, letters and digits only)."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), pattern), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def empty(kind: str) -> Column:
+    """An empty array of a type such as 'string'."""
+    return F.array().cast(f"array<{kind}>")
