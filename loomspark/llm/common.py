@@ -76,3 +76,15 @@ def let(value: Column, body) -> Column:
 def empty(kind: str) -> Column:
     """An empty array of a type such as 'string'."""
     return F.array().cast(f"array<{kind}>")
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, columnar and compressed."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_key() -> Column:
+    """Identifies a document row by its id and text; repeated rows share it."""
+    return F.xxhash64("doc_id", "text")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomspark.llm import mixing, pii, quality, secretscan, simhash, toxicity, urlfilter, warc
+from loomspark.llm import decontaminate, linededup, mixing, pii, quality, secretscan, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op2_warc": warc.op2_warc,
     "op3_url_filters": urlfilter.op3_url_filters,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_secret_scans": secretscan.op8_secret_scans,
     "op9_mixing": mixing.op9_mixing,
     "op10_pii_pseudonyms": pii.op10_pii_pseudonyms,

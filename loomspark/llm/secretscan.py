@@ -66,7 +66,8 @@ def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_random: int
     some = docs.select("text", F.xxhash64("doc_id").alias("_h")).where("text is not null").orderBy("_h", "text").limit(sample_docs)
     words = F.filter(F.split(F.substring("text", 1, 4000), "[^A-Za-z]+"), lambda w: F.length(w) >= 3)
     joined = lambda w, glue: F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat(F.get(w, i), F.lit(glue), x))
-    names = some.select(words.alias("w")).where("size(w) >= 2").select(F.explode(F.concat("w", joined(F.col("w"), "_"), joined(F.transform("w", lambda x: F.initcap(x)), ""))).alias("sample"))
+    formed = let(words, lambda w: F.when(F.size(w) >= 2, F.concat(w, joined(w, "_"), let(F.transform(w, lambda x: F.initcap(x)), lambda u: joined(u, "")))).otherwise(w))
+    names = some.select(F.explode(formed).alias("sample"))
     return random.unionByName(names.withColumn("is_random", F.lit(0)))
 
 
