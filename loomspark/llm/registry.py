@@ -16,6 +16,7 @@ QUERIES = {
     "op8_secret_scans": secretscan.op8_secret_scans,
     "op9_mixing": mixing.op9_mixing,
     "op10_pii_pseudonyms": pii.op10_pii_pseudonyms,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_warc": warc.OP2_SQL,
