@@ -2,7 +2,7 @@
 
 write_archives() renders each page as one WARC/1.1 record and writes them with Spark's text writer: the
 record's last line feed is the writer's separator, so the files are byte-exact archives, committed by
-Spark's own protocol. Records of equal payloads (SHA-1, of at least min_bytes) but the one with the
+Spark's own protocol and compressed with gzip; offsets count uncompressed bytes. Records of equal payloads (SHA-1, of at least min_bytes) but the one with the
 largest page_id are revisits that refer to it and carry no payload. read_archives() parses whole archive
 files, honouring Content-Length, and checks each digest. merge_index() makes the captures of every
 archive a locally sorted run and merges the runs with a loser tree by URL key and timestamp, one key
@@ -63,7 +63,7 @@ def _records(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    _records(pages, min_bytes).write.option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
+    _records(pages, min_bytes).write.option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path, compression="gzip")
 
 
 def url_key(url: str) -> str:
@@ -95,12 +95,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
+        import gzip
         import hashlib
 
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
                 rows = []
-                for offset, headers, block in parse_archive(bytes(data)):
+                for offset, headers, block in parse_archive(gzip.decompress(data) if name.endswith(".gz") else bytes(data)):
                     kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     http, _, payload = block.partition(b"\r\n\r\n")
                     size = int(http.rpartition(b"Content-Length: ")[2])
