@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomspark.plans import analytics, lifecycle, lookup
+
+QUERIES: dict = analytics.QUERIES | lookup.QUERIES | lifecycle.QUERIES
+ORACLES: dict = analytics.ORACLES | lookup.ORACLES | lifecycle.ORACLES
