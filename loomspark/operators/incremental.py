@@ -47,7 +47,7 @@ def coalesce_events(events: DataFrame, key: str = "key") -> DataFrame:
 def appended(messages: DataFrame, cursor: DataFrame) -> DataFrame:
     """Messages to send after cursor(ref, seen, digest): the tail where the first `seen` messages are unchanged, else all."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("message_index", "digest"))), lambda x: x["digest"])
-    known = messages.join(cursor, "ref").where(F.col("message_index") < F.col("seen")).groupBy("ref").agg(F.sha2(F.array_join(lines, ","), 256).alias("now"))
+    known = messages.join(cursor.select("ref", "seen"), "ref").where(F.col("message_index") < F.col("seen")).groupBy("ref").agg(F.sha2(F.array_join(lines, ","), 256).alias("now"))
     state = cursor.withColumnRenamed("digest", "was").join(known, "ref", "left").select("ref", F.when(F.col("was").eqNullSafe(F.col("now")) | (F.col("seen") == 0), F.col("seen")).otherwise(0).alias("start"))
     return messages.drop("digest").join(state, "ref").where("message_index >= start").drop("start")
 
