@@ -115,7 +115,7 @@ def scorer(lexicon: Sequence[tuple[str, float]], exceptions: Sequence[str]):
 
     automaton, table = ahocorasick.Automaton(), _fold_table()
     values: dict[str, tuple[int, float]] = {term: (len(term), weight) for term, weight in lexicon}
-    values |= {fold(p, table): (len(p), -1.0) for p in exceptions}
+    values |= {(spared := f" {fold(p, table).strip()} "): (len(spared), -1.0) for p in exceptions}
     for term, value in values.items():
         automaton.add_word(term, value)
     if values:
