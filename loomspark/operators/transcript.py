@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomspark.operators.reduce import reduce_sessions
+
 #: Blocks that carry internal text, dropped with their content, to the end if unclosed.
 INTERNAL_TAGS = ("system-reminder", "local-command-caveat", "command-name", "command-message", "local-command-stdout")
 
@@ -42,16 +44,14 @@ def visible_branch(entries: DataFrame, max_depth: int = 10_000) -> DataFrame:
 
     entries(ref, line, id, parent_id). Sessions are reduced one at a time: their size bounds the memory.
     """
-    import pandas as pd
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=["id"]).sort_values("line")
-        parent, path = dict(zip(rows["id"], rows["parent_id"])), []
-        at = rows["id"].iloc[-1] if len(rows) else None
+    def walk(rows: list[dict]) -> list[tuple]:
+        named = [r for r in rows if r["id"] is not None]
+        parent, path = {r["id"]: r["parent_id"] for r in named}, {}
+        at = named[-1]["id"] if named else None
         while at in parent and at not in path and len(path) < max_depth:
-            path.append(at)
+            path[at] = None
             at = parent[at]
-        ref = rows["ref"].iloc[0] if len(rows) else None
-        return pd.DataFrame([(ref, x, n) for n, x in enumerate(reversed(path))], columns=["ref", "id", "depth"])
+        return [(rows[0]["ref"], x, n) for n, x in enumerate(reversed(path))]
 
-    return entries.groupBy("ref").applyInPandas(walk, "ref string, id string, depth long")
+    return reduce_sessions(entries, "line", walk, "ref string, id string, depth long")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.reduce import reduce_sessions
+
 COUNTERS = ("input", "output", "reasoning", "cached")
 
 
@@ -18,27 +19,27 @@ def token_deltas(records: DataFrame) -> DataFrame:
     depends on the records skipped, so sessions are reduced in order, one at a time.
     """
 
-    def reduce_session(rows: pd.DataFrame) -> pd.DataFrame:
+    def reduce_session(rows: list[dict]) -> list[tuple]:
         seen_total, seen, out = 0, dict.fromkeys(COUNTERS, 0), []
-        for r in rows.sort_values("line").to_dict("records"):
-            number = lambda c: 0 if pd.isna(r[c]) else max(0, int(r[c]))  # noqa: B023, E731
+        for r in rows:
+            number = lambda c: max(0, int(r[c] or 0))  # noqa: B023, E731
             total = number("total")
             if total and total == seen_total:
                 continue
-            if not pd.isna(r["last_input"]):
+            if r["last_input"] is not None:
                 got = {c: number(f"last_{c}") for c in COUNTERS}
             elif total:
                 got = {c: max(0, number(f"total_{c}") - seen[c]) for c in COUNTERS}
             else:
                 continue
-            if not pd.isna(r["total_input"]):
+            if r["total_input"] is not None:
                 seen = {c: number(f"total_{c}") for c in COUNTERS}
             seen_total = total or seen_total
             if any(got.values()):
-                out.append((r["ref"], r["line"], *got.values()))
-        return pd.DataFrame(out, columns=["ref", "line", *COUNTERS])
+                out.append((r["ref"], int(r["line"]), *got.values()))
+        return out
 
-    return records.groupBy("ref").applyInPandas(reduce_session, "ref string, line long, input long, output long, reasoning long, cached long")
+    return reduce_sessions(records, "line", reduce_session, "ref string, line long, input long, output long, reasoning long, cached long")
 
 
 def first_usage(records: DataFrame) -> DataFrame:
@@ -49,16 +50,14 @@ def first_usage(records: DataFrame) -> DataFrame:
 def digest_chain(messages: DataFrame) -> DataFrame:
     """(ref, message_index, digest): SHA-256 of the previous digest and the length-prefixed fields; a fold in message order."""
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+    def chain(rows: list[dict]) -> list[tuple]:
         import hashlib
 
         last, out = "", []
-        for r in rows.sort_values("message_index").itertuples():
-            fields = [last, str(r.message_index), r.role or "", r.text or ""]
+        for r in rows:
+            fields = [last, str(r["message_index"]), r["role"] or "", r["text"] or ""]
             last = hashlib.sha256("".join(f"{len(x.encode())}:{x}" for x in fields).encode()).hexdigest()
-            out.append((r.ref, r.message_index, last))
-        return pd.DataFrame(out, columns=["ref", "message_index", "digest"])
-
-    return messages.select("ref", "message_index", "role", "text").groupBy("ref").applyInPandas(chain, "ref string, message_index long, digest string")
-
+            out.append((r["ref"], r["message_index"], last))
+        return out
 
+    return reduce_sessions(messages.select("ref", "message_index", "role", "text"), "message_index", chain, "ref string, message_index long, digest string")
