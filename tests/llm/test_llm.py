@@ -128,8 +128,9 @@ def test_near_dedup_keeps_one(spark):
 
 
 def test_toxicity_learns_folds_and_spares(spark):
-    clean = [(i, f"calm words number{i} about rivers and boats {i}") for i in range(0, 400)]
-    toxic = [(i, f"calm words number{i} you zorgle person {i}") for i in range(400, 500)]
+    name = lambda i: "w" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    clean = [(i, f"calm words {name(i)} about rivers and boats") for i in range(0, 400)]
+    toxic = [(i, f"calm words {name(i)} you zorgle person") for i in range(400, 500)]
     table = docs(spark, clean + toxic)
     labels = spark.createDataFrame([(i, 1, int(i >= 400)) for i in range(500)], "doc_id long, quality int, toxic int")
     lexicon, _ = toxicity.fit_lexicon(table, labels)
@@ -186,9 +187,9 @@ def test_base_spans_match_patterns(spark, real):
         assert [(s.start, s.stop, s.kind) for s in r.found if s.kind < 3] == sorted(want, key=lambda s: (s[0], s[2]))
 
 
-def test_markov_tells_random_from_names(spark):
+def test_markov_tells_random_from_names(spark, real):
     rows = [(101, "see kJ8sQz0PxV4mT2yLwB9cR7nE for"), (102, "call the_quick_brown_fox_handler now"), (103, "thereandthenoverandover"), *ODD]
-    got = {r.doc_id: [s.kind for s in r.found] for r in secretscan.scan(docs(spark, rows)).collect()}
+    got = {r.doc_id: [s.kind for s in r.found] for r in secretscan.scan(docs(spark, rows), secretscan.samples(real)).collect()}
     assert got[101] == [3] and got[102] == [] and got[103] == []
 
 
