@@ -88,3 +88,15 @@ def day_groups(entries: DataFrame, closure: DataFrame) -> DataFrame:
     rows = entries.join(subs, "ref", "left")
     day = F.date_format(F.timestamp_millis("activity"), "yyyy-MM-dd")
     return rows.groupBy(day.alias("day")).agg(F.count("*").alias("mains"), F.sum(F.coalesce("subs", F.lit(0))).cast("long").alias("subs"))
+
+
+def context(closure: DataFrame, changed: DataFrame) -> DataFrame:
+    """(ref) of all sessions in the trees that changed(ref) touches: ancestors and descendants alike."""
+    tops = closure.join(changed.select("ref"), "ref", "left_semi").select("entry").distinct()
+    return closure.join(tops, "entry", "left_semi").select("ref")
+
+
+def visible_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row (added, removed): how many refs a change adds to and removes from a windowed view."""
+    a, b = before.select("ref", F.lit(1).alias("was")), after.select("ref", F.lit(1).alias("is_now"))
+    return a.join(b, "ref", "full").agg(F.count_if(F.col("was").isNull()).alias("added"), F.count_if(F.col("is_now").isNull()).alias("removed"))

@@ -167,3 +167,35 @@ def snapshot_page(spark, sf_dir):
 def timeline_pages(spark, sf_dir):
     rows = lens.sessions(spark, sf_dir).select("ref", "agent_name", "activity")
     return dashboard.aligned_pages(rows, "agent_name", [F.desc("activity"), F.col("ref")]).drop("activity")
+
+
+@query("SELECT project, n FROM (SELECT project_kind || ':' || project_key AS project, count(*) AS n FROM sessions GROUP BY 1 ORDER BY n DESC, project LIMIT 8) UNION ALL SELECT 'path:/nowhere', 0", *BASE)
+def project_facets(spark, sf_dir):
+    return bookmarks.facets(lens.sessions(spark, sf_dir), "path:/nowhere")
+
+
+@query("SELECT ref, min(marked) AS marked FROM (SELECT ref, time_created AS marked FROM sessions WHERE ordinal % 11 = 0 UNION ALL SELECT ref, time_created - 50 + ordinal % 100 FROM sessions WHERE ordinal % 4 = 0) GROUP BY 1", *BASE)
+def bookmark_upsert(spark, sf_dir):
+    heads = lens.sessions(spark, sf_dir)
+    incoming = heads.where("ordinal % 4 = 0").select("ref", (F.col("time_created") - 50 + F.col("ordinal") % 100).alias("marked"))
+    return bookmarks.mark(heads.where("ordinal % 11 = 0").select("ref", F.col("time_created").alias("marked")), incoming)
+
+
+@query("SELECT ref, 'new ' || session_id AS alias FROM sessions WHERE ordinal % 6 = 0 AND ordinal % 4 <> 0 UNION ALL SELECT ref, 'old' FROM sessions WHERE ordinal % 3 = 0 AND ordinal % 6 <> 0", *BASE)
+def alias_upsert(spark, sf_dir):
+    heads = lens.sessions(spark, sf_dir)
+    existing = heads.where("ordinal % 3 = 0").select("ref", F.lit("old").alias("alias"))
+    incoming = heads.where("ordinal % 6 = 0").select("ref", F.when(F.col("ordinal") % 4 == 0, " ").otherwise(F.concat(F.lit(" new "), "session_id")).alias("alias"))
+    return bookmarks.rename(existing, incoming)
+
+
+@query("SELECT ref FROM closure WHERE entry IN (SELECT entry FROM closure JOIN sessions USING (ref) WHERE ordinal % 40 = 3)", *BASE, CLOSURE_SQL)
+def tree_context(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return closure.context(m.closure, m.sessions.where("ordinal % 40 = 3"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE a.ref IS NULL) AS added, count(*) FILTER (WHERE b.ref IS NULL) AS removed FROM (SELECT ref FROM sessions WHERE {INSIDE} AND ordinal % 5 <> 0) a FULL JOIN (SELECT ref FROM sessions WHERE {INSIDE} AND ordinal % 7 <> 0) b ON a.ref = b.ref", *BASE)
+def window_change(spark, sf_dir):
+    inside = dashboard.in_window(lens.sessions(spark, sf_dir), FROM, TO)
+    return closure.visible_change(inside.where("ordinal % 5 <> 0"), inside.where("ordinal % 7 <> 0"))

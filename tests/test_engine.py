@@ -185,3 +185,24 @@ def test_merge_and_diff(spark):
 def test_tool_status(spark):
     rows = spark.createDataFrame([("success", False, False), (None, True, True), (None, False, True), ("odd", False, False)], "s string, e boolean, o boolean")
     assert [r[0] for r in rows.select(transcript.tool_status(F.col("s"), F.col("e"), F.col("o"))).collect()] == ["completed", "error", "completed", "running"]
+
+
+def test_payloads(spark):
+    from loomspark.functions import payload
+
+    rows = spark.createDataFrame([('{"file_path": " a.py ", "n": 1, "x": [true, null, {"path": "b.md"}, "t"]}', "Edit"), ("plain", "odd"), (None, None)], "p string, t string")
+    got = rows.select(payload.leaf_text("p").alias("text"), payload.path_list("p").alias("paths"), payload.tool_kind(F.col("t")).alias("kind")).collect()
+    assert [r.text for r in got] == ["a.py\n1\ntrue\nb.md\nt", "plain", ""]
+    assert got[0].paths == ["a.py", "b.md"] and got[1].paths == [] and [r.kind for r in got] == ["edit", None, None]
+    patch = "*** Begin Patch\n*** Update File: a b.py\n+x\n*** Add File: c.md \n*** Delete File: d\n*** End Patch"
+    files = spark.createDataFrame([(patch,)], "p string").select(payload.patch_files(F.col("p")).alias("f")).first().f
+    assert [(f.kind, f.path) for f in files] == [("edit", "a b.py"), ("write", "c.md"), ("delete", "d")]
+
+
+def test_bookmark_and_alias_writes(spark):
+    from loomspark.operators import bookmarks
+
+    marks = bookmarks.mark(spark.createDataFrame([("a", 5)], "ref string, marked long"), spark.createDataFrame([("a", 9), ("b", 1)], "ref string, marked long"))
+    assert {(r.ref, r.marked) for r in marks.collect()} == {("a", 5), ("b", 1)}
+    names = bookmarks.rename(spark.createDataFrame([("a", "x"), ("b", "y")], "ref string, alias string"), spark.createDataFrame([("a", " z "), ("b", " "), ("c", "w" * 161)], "ref string, alias string"))
+    assert {(r.ref, r.alias) for r in names.collect()} == {("a", "z")}
