@@ -58,6 +58,17 @@ def test_line_dedup_finds_near_lines_of_a_large_group(spark):
     assert got == brute.dedup_lines(rows)
 
 
+def test_line_dedup_finds_short_lines_with_one_edit(spark):
+    import random
+
+    rng = random.Random(5)
+    lines = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(12))[: rng.randint(20, 30)].strip().ljust(20, "q") for _ in range(300)]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(1000 + i, x[:-1] + "#") for i, x in enumerate(lines)]
+    want = brute.dedup_lines(rows)
+    assert sum(t == "" for t in want.values()) == 300
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, rows)).collect()} == want
+
+
 def test_line_dedup_edges(spark):
     got = linededup.dedup_lines(docs(spark, ODD))
     assert got.columns == [*docs(spark, []).columns, "n_removed"] and got.count() == len(ODD)
