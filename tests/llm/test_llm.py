@@ -69,6 +69,20 @@ def test_line_dedup_finds_short_lines_with_one_edit(spark):
     assert {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, rows)).collect()} == want
 
 
+def test_line_dedup_compares_all_lines_of_crowded_buckets(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    head, rows = [word() for _ in range(16)], []
+    for i in range(150):
+        tail = [word() for _ in range(8)]
+        rows += [(i, " ".join([*head, *tail])), (1000 + i, " ".join([*head, *tail[:-1], word()]))]
+    want = brute.dedup_lines(rows)
+    assert sum(t == "" for t in want.values()) == 150
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, rows)).collect()} == want
+
+
 def test_line_dedup_edges(spark):
     got = linededup.dedup_lines(docs(spark, ODD))
     assert got.columns == [*docs(spark, []).columns, "n_removed"] and got.count() == len(ODD)
