@@ -1,8 +1,9 @@
 """Operator 7, benchmark decontamination.
 
 Texts and items are reduced to words of letters and digits in lower case. A document window of an item's
-size can only be similar to the item if they share a 5-word shingle, so windows start where a shared
-shingle puts the item's start: that loses no similar window. Each window gets a SimHash of its shingles,
+size is as similar as asked only if the shingles it shares with the item have that share of the item's weight
+at least. A running sum over the positions of shared shingles gives all starts of such windows, in whatever
+order the shingles stand; the rest can't be similar. Each window gets a SimHash of its shingles,
 weighted by their rarity in the benchmark. RADIUS + 1 blocks cut the 64 bits; a window within RADIUS bits
 of an item's fingerprint equals it in a block, so a join on (size, block, value) finds all of them. Exact
 weighted Jaccard similarity of the shingle multisets, 0.8 or more, verifies each. Items of fewer than five
@@ -15,7 +16,7 @@ decontaminate(); an empty table on either side gives no matches; extra columns a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import hashed, let, read, row_key, settle, sized
@@ -68,38 +69,59 @@ def blocks(fp: Column, radius: int = RADIUS) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << edges[i + 1] - edges[i]) - 1)).alias("value")) for i in range(n)])
 
 
+def weight_or(common: int) -> Column:
+    return F.coalesce("weight", F.lit(common)).alias("weight")
+
+
+def window_starts(texts: DataFrame, ks: list[int], item_counts: DataFrame, similarity: float) -> DataFrame:
+    """(_row, size, start): all windows of texts(_row, w) that share enough weight with an item of their size.
+
+    Enough is `similarity` of the item's weight; repeated shingles of a window count in full, so none is lost.
+    """
+    need = F.greatest(F.lit(1), F.floor(F.col("theirs") * similarity))
+    wanted = sized(item_counts.select("item", "size", "s", (F.col("c") * F.col("weight")).alias("worth"), "weight", need.alias("need")))
+    hits = None
+    for k in ks:
+        placed = texts.select("_row", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"), k)).alias("pos", "s"))
+        found = placed.join(wanted.where(F.least("size", F.lit(WORDS)) == k), "s").withColumn("k", F.lit(k))
+        hits = found if hits is None else hits.union(found)
+    hits = settle(hits.distinct())
+    pair = ["_row", "item"]
+    likely = hits.select(*pair, "s", "worth", "need").distinct().groupBy(*pair).agg(F.sum("worth").alias("most"), F.first("need").alias("least")).where("most >= least")
+    first = F.greatest(F.lit(0), F.col("pos") - (F.col("size") - F.col("k")))
+    last = F.least(F.col("pos"), F.greatest(F.lit(0), F.col("n") - F.col("size")))
+    ends = F.array(F.struct(first.alias("at"), F.col("weight").alias("step")), F.struct((last + 1).alias("at"), (-F.col("weight")).alias("step")))
+    steps = hits.join(sized(likely.select(*pair)), pair).select(*pair, "size", "need", F.inline(ends)).groupBy(*pair, "size", "need", "at").agg(F.sum("step").alias("step"))
+    order = Window.partitionBy(*pair).orderBy("at")
+    runs = steps.select(*pair, "size", "need", "at", F.sum("step").over(order).alias("shared"), F.lead("at").over(order).alias("next")).where("shared >= need")
+    return runs.select("_row", "size", F.explode(F.sequence("at", F.col("next") - 1)).alias("start")).distinct()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(_row, doc_id, item_id, start, similarity): each document row's best window of each item it leaks."""
     items = items_of(benchmark)
     weights, common = rarity(items)
     ks = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most WORDS values
     texts = docs.select(row_key().alias("_row"), "doc_id", hashed(F.col("text")).alias("w"))
-    wanted = sized(items.select("size", F.posexplode("s").alias("at", "s")).distinct())
-    windows = None
-    for k in ks:
-        placed = texts.select("_row", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"), k)).alias("pos", "s"))
-        found = placed.join(wanted, "s").select("_row", "size", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("size"))).alias("start"))
-        windows = found if windows is None else windows.union(found)
-    if windows is None:
+    item_counts = settle(items.select("item", "size", F.explode("s").alias("s")).groupBy("item", "size", "s").agg(F.count("*").alias("c")).join(weights, "s", "left").select("item", "size", "s", "c", weight_or(common)))
+    theirs = sized(item_counts.groupBy("item").agg(F.sum(F.col("c") * F.col("weight")).alias("theirs")))
+    if not ks:
         schema = docs.select(row_key().alias("_row"), "doc_id").limit(0)
         return schema.select("_row", "doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
-    windows = settle(windows.distinct())
+    windows = settle(window_starts(texts, ks, item_counts.join(theirs, "item"), similarity))
     rows = sized(windows.select("_row").distinct())
     cut = texts.join(rows, "_row", "left_semi").dropDuplicates(["_row"]).join(windows, "_row")
     cut = cut.select("_row", "size", "start", F.slice("w", F.col("start") + 1, F.col("size")).alias("w"))
     made = let(F.col("w"), lambda w: _shingles_of(w, F.least(F.size(w), F.lit(WORDS))))
     window = ["_row", "size", "start"]
-    weight = F.coalesce("weight", F.lit(common)).alias("weight")
     counted = cut.select(*window, F.explode(made).alias("s")).groupBy(*window, "s").agg(F.count("*").alias("c"))
-    counted = settle(counted.join(weights, "s", "left").select(*window, "s", "c", weight))
-    item_counts = settle(items.select("item", "size", F.explode("s").alias("s")).groupBy("item", "size", "s").agg(F.count("*").alias("c")).join(weights, "s", "left").select("item", "size", "s", "c", weight))
+    counted = settle(counted.join(weights, "s", "left").select(*window, "s", "c", weight_or(common)))
     window_fp = fingerprints(counted, window)
     item_fp = fingerprints(item_counts, ["item", "size"])
     cells = sized(item_fp.select("item", "size", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"), radius))))
     near = window_fp.select(*window, "fp", F.inline(blocks(F.col("fp"), radius))).join(cells, ["size", "block", "value"])
     near = settle(near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*window, "item").distinct())
     mine = counted.groupBy(*window).agg(F.sum(F.col("c") * F.col("weight")).alias("mine"))
-    theirs = sized(item_counts.groupBy("item").agg(F.sum(F.col("c") * F.col("weight")).alias("theirs")))
     item_cells = sized(item_counts.select("item", "s", F.col("c").alias("item_c")))
     shared = near.join(counted, window).join(item_cells, ["item", "s"]).groupBy(*window, "item").agg(F.sum(F.least("c", "item_c") * F.col("weight")).alias("shared"))
     score = shared.join(mine, window).join(theirs, "item").withColumn("similarity", F.col("shared") / (F.col("mine") + F.col("theirs") - F.col("shared")))
