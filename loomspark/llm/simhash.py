@@ -10,14 +10,16 @@ full Hamming check.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and link like any
 other; a null doc_id gets a fingerprint and takes no part in links; repeated rows are returned as often
-as they came; an empty table gives an empty result; extra columns are ignored.
+as they came; ids of any size are kept exactly; of equal fingerprints the smallest doc_id stands for all; very
+long texts are read whole, their votes counted in blocks; an empty table gives an empty result; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,12 +63,13 @@ def fingerprint(text: str | None, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x) for x in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": [x - (1 << 64) if x >> 63 else x for x in fps]}, columns=["doc_id", "fp"])
+            fps = [fingerprint(x.as_py()) for x in batch.column("text")]
+            signed = pa.array([x - (1 << 64) if x >> 63 else x for x in fps], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed], ["doc_id", "fp"])  # ids never leave Arrow
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _segment(k: int) -> str:

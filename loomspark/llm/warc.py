@@ -1,28 +1,31 @@
 """Operator 2, WARC archives with a merged capture index.
 
 write_archives() renders each page as one WARC/1.1 record and writes them with Spark's text writer: the
-record's last line feed is the writer's separator, so the files are byte-exact archives, committed by
-Spark's own protocol and compressed with gzip; offsets count uncompressed bytes. Records of equal payloads (SHA-1, of at least min_bytes) but the one with the
-largest page_id are revisits that refer to it and carry no payload. read_archives() parses whole archive
-files, honouring Content-Length, and checks each digest. merge_index() makes the captures of every
-archive a locally sorted run and merges the runs with a loser tree by URL key and timestamp, one key
-range to a task; ranges are in order, so the output is a globally ordered capture history.
-
-Defined cases: a null html is an empty payload; a null url gives an empty target and URL key; a null
-page_id stays null and is never referred to; repeated rows of the largest page_id are responses all;
-line breaks in a url are percent-encoded; an empty table gives an empty result; extra columns are
-ignored. Capture times follow page_id, one second each from START.
+record's last line feed is the writer's separator, so the files are byte-exact archives, committed by Spark's own
+protocol and compressed with gzip; offsets count uncompressed bytes. Records of equal payloads (SHA-1, of at
+least min_bytes) but the one with the largest page_id are revisits that refer to it and carry no payload.
+read_archives() streams the archives' lines from Spark's text reader through a parser that honours
+Content-Length, so a task holds one record and not an archive, and checks each digest. merge_index() makes the
+captures of every archive a locally sorted run and merges the runs with a loser tree by URL key and timestamp,
+one key range to a task; ranges are in order, so the output is a globally ordered capture history. Spark's range
+exchange and external sort bring a range's runs together; a task merges CAPTURES_PER_TASK narrow rows or so.
+
+Defined cases: a null html is an empty payload; a null url gives an empty target and URL key; a null page_id
+stays null, orders first and is never referred to; repeated rows of the largest page_id are responses all; ids of
+any size are kept exactly; ties of key, time and page_id are ordered by archive and offset; line breaks in a url
+are percent-encoded; very long pages are read and written whole; an empty table gives an empty result; extra
+columns are ignored. Capture times follow page_id, one second each from START.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import read, scratch_path, settle
+from loomspark.llm.common import read, scratch_path, settle, sized
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 START = "2024-01-01 00:00:00"
@@ -46,7 +49,7 @@ def _records(pages: DataFrame, min_bytes: int) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
     same = pages.where(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select(F.col("sha").alias("same_sha"), "first")
-    rows = pages.join(same, F.col("sha") == F.col("same_sha"), "left")
+    rows = pages.join(sized(same), F.col("sha") == F.col("same_sha"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
@@ -73,45 +76,65 @@ def url_key(url: str) -> str:
     return ",".join(reversed(rest[:cut].split("."))) + ")" + rest[cut:] if rest else ""
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode().split(CRLF)
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines)
-        start, size = end + 4, int(headers["Content-Length"])
-        yield at, headers, data[start : start + size]
-        at = start + size + 4
+class Parser:
+    """Records of one archive from its lines, in order."""
+
+    def __init__(self) -> None:
+        self.held, self.size, self.offset, self.head, self.need = [], 0, 0, {}, 0
+
+    def feed(self, line: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+        """(offset, headers, block) once a line, given without its line feed, ends a record."""
+        self.held.append(line)
+        self.size += len(line) + 1
+        if not self.need and line == b"\r":
+            first, *lines = b"\n".join(self.held)[: self.size - 4].decode().split(CRLF)
+            if not first.startswith("WARC/"):
+                raise ValueError(f"no record at byte {self.offset}")
+            self.head = dict(x.split(": ", 1) for x in lines)
+            self.start, self.need = self.size, self.size + int(self.head["Content-Length"]) + 4
+        elif self.need and self.size >= self.need:
+            data = b"\n".join(self.held)
+            if self.size != self.need or not data.endswith(b"\r\n\r"):
+                raise ValueError(f"damaged record at byte {self.offset}")
+            yield self.offset, self.head, data[self.start : -3]
+            self.held, self.offset, self.size, self.need = [], self.offset + self.size, 0, 0
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives below path, as RECORD."""
+    """One row per record of the archives below path, as RECORD. Archives are compressed, so a file is one task's."""
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    types = [pa.int64() if x.endswith("long") else pa.string() for x in RECORD.split(", ")]
 
     def number(urn: str | None) -> int | None:
         return int(urn[10:-1]) if urn and urn != "<urn:page:none>" else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def row(name: str, offset: int, headers: dict[str, str], block: bytes) -> tuple:
         import base64
-        import gzip
         import hashlib
 
+        kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size = int(http.rpartition(b"Content-Length: ")[2])
+        if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+            raise ValueError(f"{name}: damaged record at byte {offset}")
+        return number(headers["WARC-Record-ID"]), size, digest, kind, number(headers.get("WARC-Refers-To")), url_key(headers["WARC-Target-URI"]), headers["WARC-Date"], name, offset
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parser = None, Parser()
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
-                rows = []
-                for offset, headers, block in parse_archive(gzip.decompress(data) if name.endswith(".gz") else bytes(data)):
-                    kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    size = int(http.rpartition(b"Content-Length: ")[2])
-                    if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-                        raise ValueError(f"{name}: damaged record at byte {offset}")
-                    rows.append((number(headers["WARC-Record-ID"]), size, digest, kind, number(headers.get("WARC-Refers-To")), url_key(headers["WARC-Target-URI"]), headers["WARC-Date"], name, offset))
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            rows = []
+            for name, line in zip(batch.column("name").to_pylist(), batch.column("line")):
+                if name != current:
+                    if parser.held:
+                        raise ValueError(f"{current}: cut record at byte {parser.offset}")
+                    current, parser = name, Parser()
+                rows += [row(name, *record) for record in parser.feed(line.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+        if parser.held:
+            raise ValueError(f"{current}: cut record at byte {parser.offset}")
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInPandas(run, RECORD)
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "part-*").text(path)
+    return lines.select(F.col("_metadata.file_name").alias("name"), F.col("value").cast("binary").alias("line")).mapInArrow(run, RECORD)
 
 
 class LoserTree:
@@ -151,27 +174,22 @@ def merge_index(captures: DataFrame) -> DataFrame:
     """captures (as RECORD) in the global order of URL key, time and page_id."""
     captures = settle(captures)
     ranges = max(1, -(-captures.count() // CAPTURES_PER_TASK))
-    names = captures.columns
-    order = ["url_key", "captured", "page_id"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = pd.concat([*batches], ignore_index=True) if batches else None
-        runs: list[Iterator[tuple]] = []
-        for _, part in table.groupby("archive", sort=False):
-            keys = zip(part["url_key"], part["captured"], part["page_id"].fillna(-1), part.index)
-            runs.append(iter(list(keys)))
-        merged = [row[3] for row in LoserTree(runs)]
+    order = ["url_key", "captured", "page_id", "archive", "offset"]  # unique, so no group of equal keys stays in one range
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        url, captured, page, archive, offset = (table.column(c).to_pylist() for c in order)
+        keys = [(u, c, p is not None, p or 0, a, o, i) for i, (u, c, p, a, o) in enumerate(zip(url, captured, page, archive, offset))]
+        starts = [i for i in range(len(keys)) if not i or archive[i] != archive[i - 1]]
+        runs = [iter(keys[a:b]) for a, b in zip(starts, [*starts[1:], len(keys)])]
+        merged = [row[-1] for row in LoserTree(runs)]
         for at in range(0, len(merged), 10_000):
-            yield table.loc[merged[at : at + 10_000]]
-
-    def guarded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = next(batches, None)
-        if first is not None:
-            import itertools
-
-            yield from run(itertools.chain([first], batches))
+            yield from table.take(merged[at : at + 10_000]).combine_chunks().to_batches()
 
-    return captures.repartitionByRange(ranges, *order).sortWithinPartitions("archive", *order).mapInPandas(guarded, captures.schema).select(*names)
+    return captures.repartitionByRange(ranges, *order).sortWithinPartitions("archive", *order).mapInArrow(run, captures.schema)
 
 
 def capture_history(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
