@@ -4,12 +4,13 @@ Base rules read one text: fewer than 20 words, or over 30 % of its words in repe
 The method looks across documents: lines are normalised (lower case, digits to 0, spaces collapsed) and
 hashed, the distinct texts of each host (the source column) that hold a line are counted, and lines in
 more than the host's limit, max(min_docs, share * distinct texts of the host), are removed. Copies of one
-text count once, so a copied document doesn't condemn its own lines. A document that loses more than
-max_loss of its characters is depleted and rejected.
+text count once, so a copied document doesn't condemn its own lines; with copies=True each document counts. A
+document that loses more than max_loss of its characters is depleted and rejected.
 
 Defined cases: null texts are empty and fail; a null source is the host ''; a null doc_id is judged like
-any other; repeated rows are judged each and count once; an empty table gives an empty result; extra
-columns are ignored or, in strip_frequent_lines, kept.
+any other; repeated rows are judged each and count once; a line at the limit stays; very long texts and lines
+are read whole; an empty table gives an empty result; extra columns are ignored or, in strip_frequent_lines,
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import empty, let, read, sized
+from loomspark.llm.common import empty, let, read, row_key, sized, unused
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]"
@@ -67,9 +68,10 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """docs with _row (its id and text) and _text (its text) as hashes."""
-    return docs.withColumns({"_row": F.xxhash64("doc_id", "text"), "_text": F.xxhash64("text")})
+def _identified(docs: DataFrame, copies: bool = False) -> DataFrame:
+    """(source, text, _row, _text): hashes of a row's id and text, and of what counts as one document: its text or, with copies, the row."""
+    row = row_key()
+    return docs.select("source", "text", row.alias("_row"), (row if copies else F.xxhash64("text")).alias("_text"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -80,9 +82,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select(*ROW, F.xxhash64("_h").alias("_host"), F.col("p.pos").alias("pos"), F.xxhash64("_h", normalised(F.col("p.x"))).alias("line"), F.length("p.x").cast("long").alias("size"))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, copies: bool = False) -> DataFrame:
     """(line, n_docs) of the lines above their host's limit."""
-    docs = _identified(docs)
+    docs = _identified(docs, copies)
     hosts = docs.select(F.xxhash64(F.coalesce("source", F.lit(""))).alias("_host"), "_text").distinct().groupBy("_host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * share).alias("limit"))
     counts = _lines(docs).select("line", "_host", "_text").distinct().groupBy("line", "_host").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     return counts.join(sized(hosts), "_host").where("n_docs > limit").select("line", "n_docs")
@@ -93,24 +95,25 @@ def _hits(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     return _lines(docs).join(sized(frequent.select("line")), "line").select("_row", "pos", "size").distinct()
 
 
-def strip_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_loss: float = MAX_LOSS) -> DataFrame:
+def strip_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_loss: float = MAX_LOSS, copies: bool = False) -> DataFrame:
     """docs without their frequent lines and without depleted documents."""
     columns = docs.columns
-    hits = _hits(_identified(docs), frequent_lines(docs, min_docs, share)).groupBy("_row").agg(F.collect_list("pos").alias("_at"), F.sum("size").alias("_lost"))
-    rows = _identified(docs).join(sized(hits.withColumnRenamed("_row", "_r"), 50_000), F.col("_row") == F.col("_r"), "left")
+    of, at, lost = (unused(docs, x) for x in ("_of", "_at", "_lost"))
+    hits = _hits(_identified(docs), frequent_lines(docs, min_docs, share, copies)).groupBy("_row").agg(F.collect_list("pos").alias(at), F.sum("size").alias(lost))
+    rows = docs.join(sized(hits.withColumnRenamed("_row", of), 50_000), row_key() == F.col(of), "left")
     total = F.aggregate(lines_of(F.col("text")), F.lit(0), lambda s, x: s + F.length(x))
-    rows = rows.where(F.col("_lost").isNull() | (F.col("_lost") <= total * max_loss))
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_at", i))
-    return rows.withColumn("text", F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*columns)
+    rows = rows.where(F.col(lost).isNull() | (F.col(lost) <= total * max_loss))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(at, i))
+    return rows.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*columns)
 
 
-def quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_loss: float = MAX_LOSS) -> DataFrame:
+def quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_loss: float = MAX_LOSS, copies: bool = False) -> DataFrame:
     """Base counts and kept for each row of docs."""
     docs = docs.select("doc_id", "source", "text")
-    lost = _hits(_identified(docs), frequent_lines(docs, min_docs, share)).groupBy("_row").agg(F.sum("size").alias("_lost"))
+    lost = _hits(_identified(docs), frequent_lines(docs, min_docs, share, copies)).groupBy("_row").agg(F.sum("size").alias("_lost"))
     lost = sized(lost.withColumnRenamed("_row", "_r"))
     total = F.aggregate(lines_of(F.coalesce(F.col("text"), F.lit(""))), F.lit(0), lambda s, x: s + F.length(x))
-    rows = base_rules(_identified(docs).withColumn("_all", total)).join(lost, F.col("_row") == F.col("_r"), "left")
+    rows = base_rules(docs.withColumns({"_row": row_key(), "_all": total})).join(lost, F.col("_row") == F.col("_r"), "left")
     depleted = F.coalesce(F.col("_lost") > F.col("_all") * max_loss, F.lit(False))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"))
 

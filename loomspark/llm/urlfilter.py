@@ -9,8 +9,9 @@ blocked when its distrust exceeds its trust by more than the threshold. Scores l
 edges; without any edge scores are the seeds.
 
 Defined cases: null urls and urls without :// have an empty host and path, fit no rule and are allowed;
-null html has no links; links of a page to its own host don't count; repeated rows are judged each; an
-empty table gives an empty result; extra columns are ignored.
+null html has no links; links of a page to its own host don't count; repeated rows are judged each; rules of
+equal length that both fit are of one host, so they are one text, and allow holds before block; very long urls
+and pages are read whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 0.25
-#: Rules are compiled into the plan, so their number is bounded.
-MAX_RULES = 2_000
+#: Up to so many rules are compiled into the plan; more are joined by host suffix.
+MAX_RULES = 200
 
 
 def host_of(url: Column) -> Column:
@@ -38,8 +39,6 @@ def path_of(url: Column) -> Column:
 
 def longest_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> Column:
     """The longest fitting rule's text, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     found = F.lit(None).cast("string")
     for _, rule in sorted(rules, key=lambda x: (len(x[1]), x[1])):  # the last, so longest, test comes first
         domain, slash, rest = rule.partition("/")
@@ -48,10 +47,28 @@ def longest_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> Co
     return found
 
 
-def judged_by_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def rules_by_host(hosts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """(_host, _rules): the rules, longest first, that fit each of hosts(host) by its name or a domain above it."""
+    rows = [(kind, rule, *rule.partition("/")[::2]) for kind, rule in rules]
+    table = hosts.sparkSession.createDataFrame(rows, "kind string, rule string, domain string, path string")
+    labels = F.split("host", "\\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = hosts.where("host <> ''").distinct().select("host", F.explode(above).alias("domain")).join(table, "domain")
+    fitting = F.struct((-F.length("rule")).alias("order"), "rule", "kind", F.concat(F.lit("/"), "path").alias("path"))
+    return met.groupBy(F.col("host").alias("_host")).agg(F.array_sort(F.collect_list(fitting)).alias("_rules"))
+
+
+def judged_by_rule(pages: DataFrame, rules: list[tuple[str, str]], max_rules: int = MAX_RULES) -> DataFrame:
+    """(page_id, host, path, rule, by_rule); of rules of one length and text the first kind by name holds."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    if len(rules) > max_rules:
+        fitting = sized(rules_by_host(rows.select("host"), rules))
+        rows = rows.join(fitting, rows["host"] == fitting["_host"], "left")
+        best = F.get(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
+        return rows.select("page_id", "host", "path", best["rule"].alias("rule"), best["kind"].alias("by_rule"))
     rows = rows.withColumn("rule", longest_rule(rules, F.col("host"), F.col("path")))
-    action = F.create_map(*[F.lit(x) for kind, rule in rules for x in (rule, kind)]) if rules else None
+    kinds = {rule: kind for kind, rule in sorted(rules, reverse=True)}
+    action = F.create_map(*[F.lit(x) for rule, kind in kinds.items() for x in (rule, kind)]) if rules else None
     return rows.withColumn("by_rule", action[F.col("rule")] if rules else F.lit(None).cast("string"))
 
 

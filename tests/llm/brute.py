@@ -1,5 +1,7 @@
 """Plain Python versions of the operators, by other ways than the operators take."""
 
+import datetime
+import hashlib
 import itertools
 import math
 import re
@@ -110,3 +112,90 @@ def simhash_groups(docs, radius=3):
     ids = sorted(prints)
     links = [(a, b) for a, b in itertools.combinations(ids, 2) if (prints[a] ^ prints[b]).bit_count() <= radius]
     return prints, components(ids, links)
+
+
+def luhn_digit(payload):
+    total = sum(int(d) if i % 2 else (2 * int(d) - 9 if int(d) > 4 else 2 * int(d)) for i, d in enumerate(reversed(payload)))
+    return str(-total % 10)
+
+
+def feistel(left, right, a, b, key, kind, rounds=8):
+    for n in range(1, rounds + 1):
+        half, modulus = (right, a) if n % 2 == 0 else (left, b)
+        move = int(hashlib.sha256(f"{key}|{kind}|{a}|{b}|{n}|{half}".encode()).hexdigest()[:15], 16) % modulus
+        left, right = ((left + move) % a, right) if n % 2 == 0 else (left, (right + move) % b)
+    return left, right
+
+
+def permute_digits(digits, key, kind):
+    half = len(digits) // 2
+    left, right = feistel(int(digits[:half]), int(digits[half:]), 10**half, 10 ** (len(digits) - half), key, kind)
+    return str(left).zfill(half) + str(right).zfill(len(digits) - half)
+
+
+def refill(value, digits):
+    left = iter(digits)
+    return "".join(next(left) if c.isdigit() else c for c in value)
+
+
+def pseudonymise(text, key, patterns):
+    """(text, kinds) of an ASCII text: one regular expression, each match replaced in plain Python."""
+    kinds = []
+
+    def card(value):
+        groups, digits, at = re.split("[ -]", value), re.sub("[ -]", "", value), 0
+        starts = [sum(map(len, groups[:i])) for i in range(len(groups))]
+        ends, new, i = {s + len(g) for s, g in zip(starts, groups)}, "", 0
+        while i < len(groups):
+            s = starts[i]
+            size = next((n for n in (16, 15, 14, 13, 19, 18, 17) if s + n in ends and luhn_digit(digits[s : s + n - 1]) == digits[s + n - 1]), 0) if s >= at else 0
+            if size:
+                payload = permute_digits(digits[s : s + size - 1], key, "card")
+                new, at = new + digits[at:s] + payload + luhn_digit(payload), s + size
+                kinds.append("card")
+            i += 1
+        return refill(value, new + digits[at:])
+
+    def one(match):
+        value = match[0]
+        kind = next(k for k, p in patterns.items() if re.fullmatch(p, value))
+        new = None
+        if kind == "card":
+            return card(value)
+        if kind == "email":
+            new = "u" + hashlib.sha256(f"{key}|email|{value.lower()}".encode()).hexdigest()[:12] + "@" + value.rsplit("@", 1)[1]
+        elif kind == "ipv4" and all(int(x) <= 255 for x in value.split(".")):
+            o = [int(x) for x in value.split(".")]
+            left, right = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4")
+            new = f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+        elif kind == "phone":
+            digits = re.sub("[^0-9]", "", value)
+            new = refill(value, digits[:-10] + permute_digits(digits[-10:], key, "phone"))
+        elif kind == "date":
+            for sign, form in (("-", "%Y-%m-%d"), ("/", "%d/%m/%Y"), ("/", "%m/%d/%Y"), (".", "%d.%m.%Y")):
+                try:
+                    day = datetime.datetime.strptime(value, form) if sign in value else None
+                except ValueError:
+                    day = None
+                index = (day - datetime.datetime(1900, 1, 1)).days if day else -1
+                if 0 <= index < 229 * 319:
+                    left, right = feistel(index // 319, index % 319, 229, 319, key, "date")
+                    new = (datetime.datetime(1900, 1, 1) + datetime.timedelta(left * 319 + right)).strftime(form)
+                    break
+        if new is None:
+            return value
+        kinds.append(kind)
+        return new
+
+    return re.sub("|".join(f"(?:{p})" for p in patterns.values()), one, text), kinds
+
+
+def page_rank(seeds, edges, damping, rounds):
+    degree = Counter(a for a, _ in edges)
+    score = dict(seeds)
+    for _ in range(rounds):
+        new = defaultdict(float, seeds)
+        for a, b in edges:
+            new[b] += damping * score.get(a, 0.0) / degree[a]
+        score = dict(new)
+    return score
