@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import settle, sized
+from loomspark.llm.common import settle
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
     """Per node, the smallest of its neighbours and itself; aggregated before the shuffle.
 
-    Settled, so that the join that follows is a broadcast where it is small, and elsewhere a join of two plain
-    shuffles, whose hot nodes adaptive execution can split.
+    Settled, so that the join that follows is one of two plain shuffles, whose hot nodes adaptive execution can split.
     """
     low = pairs.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-    return sized(low)
+    return settle(low)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
