@@ -3,18 +3,35 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Keys that name a path, and tool labels by what they do to a file.
-PATH_KEYS = ("path", "file", "file_path", "filePath", "filename", "notebook_path")
-KINDS = {"read": ("read", "read_file", "view"), "edit": ("edit", "multiedit", "apply_patch", "patch", "notebookedit"), "write": ("write", "write_file", "create"), "delete": ("delete", "delete_file", "remove")}
+#: Parts of keys that never name a path, whole keys that don't, and tool labels by what they do to a file.
+NOT_PATH_PARTS = ("command", "content", "text", "prompt", "url", "body", "title", "description")
+NOT_PATH_KEYS = ("cwd", "workdir", "directory")
+KINDS = {"read": ("read", "readfile", "read_file"), "edit": ("edit", "multiedit", "apply_patch", "notebookedit"), "write": ("write", "writefile", "write_file", "create_file"), "delete": ("delete", "delete_file")}
 MAX_DEPTH = 4
 
 
+def is_path_key(key: str) -> bool:
+    key = key.strip().lower()
+    if key in NOT_PATH_KEYS or any(part in key for part in NOT_PATH_PARTS):
+        return False
+    return "file" in key or "path" in key
+
+
+def is_path(text: str) -> bool:
+    """One line of at most 300 characters, no address or markup, with a slash or a file extension."""
+    text = text.strip()
+    if not 0 < len(text) <= 300 or re.search(r"[\n<>{}]|^[A-Za-z]+://", text):
+        return False
+    return "/" in text or "\\" in text or re.fullmatch(r"[A-Za-z0-9_.@-]+\.[A-Za-z0-9_-]+", text) is not None
+
+
 def leaves(value) -> Iterator[str]:
     """Texts (trimmed), numbers and booleans of a JSON value in order; keys are no leaves."""
     if isinstance(value, dict):
@@ -30,16 +47,15 @@ def leaves(value) -> Iterator[str]:
         yield json.dumps(value)
 
 
-def paths(value, depth: int = 0) -> Iterator[str]:
-    """Texts under a path key, at most MAX_DEPTH levels down."""
-    if depth > MAX_DEPTH or not isinstance(value, (dict, list)):
+def paths(value, key: str = "", depth: int = 0) -> Iterator[str]:
+    """Texts that look like paths under a key that names one, at most MAX_DEPTH levels down."""
+    if depth > MAX_DEPTH:
         return
-    for key, v in value.items() if isinstance(value, dict) else ((None, v) for v in value):
-        if isinstance(v, str):
-            if key in PATH_KEYS and v.strip():
-                yield v.strip()
-        else:
-            yield from paths(v, depth + 1)
+    if isinstance(value, str) and is_path_key(key) and is_path(value):
+        yield value.strip()
+    elif isinstance(value, (dict, list)):
+        for name, v in value.items() if isinstance(value, dict) else ((key, v) for v in value):
+            yield from paths(v, name, depth + 1)
 
 
 def _parsed(text: str | None):

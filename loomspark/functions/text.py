@@ -31,14 +31,16 @@ def title_of(explicit: Column, message: Column, directory: Column) -> Column:
     return F.coalesce(first_line_title(explicit), first_line_title(message), base, F.lit("Untitled Session"))
 
 
-def snippet(text: Column, term: str, around: int = 80) -> Column:
-    """The text around the first occurrence of a term, spaces collapsed, with ellipses where cut."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    at = F.instr(F.lower(flat), term.lower())
-    start = F.greatest(at - around, F.lit(1))
-    size = at + len(term) + around - start
-    body = F.substring(flat, start, size)
-    return F.when(at > 0, F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(start + size <= F.length(flat), "…").otherwise("")))
+def snippet(text: Column, terms: list[str], around: int = 80) -> Column:
+    """The text around the first of the terms it holds, with ellipses where cut; without terms its first 180 characters."""
+    if not terms:
+        return F.substring(text, 1, 180)
+    low = F.lower(text)
+    pick = F.coalesce(*[F.when(low.contains(t.lower()), F.lit(t.lower())) for t in terms], F.lit(terms[0].lower()))
+    at = F.instr(low, pick) - 1
+    start = F.greatest(at - around, F.lit(0))
+    end = F.least(F.length(text), at + F.length(pick) + around)
+    return F.concat(F.when(start > 0, "… ").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < F.length(text), " …").otherwise(""))
 
 
 def highlights(text: Column, terms: list[str]) -> Column:

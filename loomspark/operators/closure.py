@@ -7,17 +7,23 @@ their own.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; a folder of our own only on a local master."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder spark.checkpoint.dir names; one of our own where unset."""
+    """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

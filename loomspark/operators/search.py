@@ -2,68 +2,98 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 from loomspark.functions import text as T
+from loomspark.functions.tags import TAGS
 
 K1, B, TITLE_WEIGHT, TEXT_WEIGHT = 1.2, 0.75, 8.0, 1.0
-QUALIFIERS = {"agent": "agent", "project": "project", "project-key": "project_key", "project-kind": "project_kind", "cwd": "cwd", "file": "file", "path": "file"}
+#: Names of qualifiers, kinds of file use and of project identity.
+QUALIFIERS = {
+    "agent": "agent", "project": "project", "project-key": "project_key", "projectkey": "project_key", "project-kind": "project_kind", "projectkind": "project_kind",
+    "cwd": "cwd", "tool": "tools", "file": "file", "path": "file", "kind": "file_kind", "filekind": "file_kind", "file-kind": "file_kind", "tag": "tags", "signal": "tags", "cost": "cost",
+}
 FILE_KINDS, PROJECT_KINDS = {"read", "edit", "write", "delete"}, {"git_remote", "git_common_dir", "manifest_path", "synthetic", "path", "loose"}
 
 
 @dataclass
 class Query:
-    terms: list[str] = field(default_factory=list)
-    any_term: bool = False
+    """A parsed search text: groups of terms, of which all terms of one group must match, and filters."""
+
+    groups: list[list[str]] = field(default_factory=list)
     filters: dict = field(default_factory=dict)
 
+    @property
+    def terms(self) -> list[str]:
+        return [t for group in self.groups for t in group]
+
+    @property
+    def any_term(self) -> bool:
+        return len(self.groups) > 1
+
     @property
     def uses_index(self) -> bool:
-        return bool(self.terms or {"file", "file_kind", "tools"} & self.filters.keys())
+        return bool(self.groups or {"file", "file_kind", "tools"} & self.filters.keys())
+
+
+def cost_bounds(value: str) -> dict:
+    """The ends that a cost qualifier sets: a..b, >a, >=a, <b, <=b or an exact number; nothing else sets any."""
+    number = r"(\d+(?:\.\d+)?)"
+    low = lambda n, open_end: {"cost_min": float(n), "above": open_end}
+    high = lambda n, open_end: {"cost_max": float(n), "below": open_end}
+    if m := re.fullmatch(f"{number}\\.\\.{number}", value):
+        return low(m[1], False) | high(m[2], False)
+    if m := re.fullmatch(f"(>=?|<=?){number}", value):
+        return low(m[2], m[1] == ">") if m[1][0] == ">" else high(m[2], m[1] == "<")
+    if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?", value, re.IGNORECASE):
+        return low(value, False) | high(value, False)
+    return {}
 
 
-def cost_bounds(value: str) -> dict | None:
-    """Bounds of a cost qualifier: a..b, >a, >=a, <b, <=b or an exact number."""
-    number = r"(\d+(?:\.\d+)?|\.\d+)"
-    if m := re.fullmatch(f"{number}?\\.\\.{number}?", value):
-        if not (m[1] or m[2]):
-            return None
-        return {"cost_min": float(m[1]) if m[1] else None, "cost_max": float(m[2]) if m[2] else None, "above": False, "below": False}
-    if m := re.fullmatch(f"(>=?|<=?)?{number}", value):
-        sign, n = m[1] or "", float(m[2])
-        return {"cost_min": n if sign[:1] in (">", "") else None, "cost_max": n if sign[:1] in ("<", "") else None, "above": sign == ">", "below": sign == "<"}
-    return None
+def _accepted(name: str, value: str) -> bool:
+    """Whether a qualifier takes a value; one that doesn't is text."""
+    allowed = {"project_kind": PROJECT_KINDS, "file_kind": FILE_KINDS, "tags": set(TAGS)}.get(name)
+    return allowed is None or (value.lower() if name == "tags" else value) in allowed
 
 
 def parse_query(text: str) -> Query:
-    """Terms and filters of a search text; quotes hold a phrase, unknown or invalid qualifiers are terms."""
-    query = Query()
-    for word in re.findall(r'(?:"[^"]*"|[^\s"])+', text):
-        name, colon, value = word.partition(":")
-        name, value = name.lower(), value.replace('"', "").strip()
-        if colon and not value and (name in QUALIFIERS or name in ("tool", "tag", "signal", "kind", "cost")):
+    """Groups of terms and filters of a search text. Quotes hold a phrase; unknown or invalid qualifiers are text;
+    one without a value is dropped; later cost ends replace earlier ones; OR, in any case and between terms only, parts groups."""
+    words, filters = [], {}
+    for word in re.findall(r'(?:"[^"]*(?:"|$)|[^\s"])+', text):
+        m = re.fullmatch(r"([a-zA-Z][a-zA-Z_-]*):(.+)", word)
+        name, value = (QUALIFIERS.get(m[1].lower()), _unwrapped(m[2])) if m else (None, word)
+        if m and not value:
             continue
-        if colon and name in QUALIFIERS and not (name == "project-kind" and value not in PROJECT_KINDS):
-            query.filters[QUALIFIERS[name]] = value.lower() if name == "agent" else value
-        elif colon and name == "tool":
-            query.filters.setdefault("tools", []).append(value.lower())
-        elif colon and name in ("tag", "signal"):
-            query.filters.setdefault("tags", []).append(value.lower())
-        elif colon and name == "kind" and value.lower() in FILE_KINDS:
-            query.filters["file_kind"] = value.lower()
-        elif colon and name == "cost" and (bounds := cost_bounds(value)):
-            query.filters["cost"] = bounds
-        elif word == "OR":
-            query.any_term = bool(query.terms)
-        elif term := word.replace('"', "").strip():
-            query.terms.append(term)
-    return query
+        if name is None or not _accepted(name, value):
+            words.append(word)
+        elif name in ("tools", "tags"):
+            held = filters.setdefault(name, [])
+            held += [] if value.lower() in held else [value.lower()]
+        elif name == "cost":
+            if bounds := cost_bounds(value):
+                filters["cost"] = {"cost_min": None, "cost_max": None, "above": False, "below": False} | filters.get("cost", {}) | bounds
+        else:
+            filters[name] = value.lower() if name == "agent" else value
+    groups: list[list[str]] = [[]]
+    for at, word in enumerate(words):
+        if word.upper() != "OR":
+            groups[-1].append(_unwrapped(word) if word.startswith('"') else word.replace('"', ""))
+        elif 0 < at < len(words) - 1 and "OR" not in (words[at - 1].upper(), words[at + 1].upper()):
+            groups.append([])
+    return Query([g for g in ([t for t in group if t] for group in groups) if g], filters)
+
+
+def _unwrapped(value: str) -> str:
+    value = value.strip()
+    return value[1:-1].strip() if len(value) > 1 and value[0] == value[-1] == '"' else value.strip('"')
 
 
 def postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,9 +111,11 @@ def _phrase_hits(words: list[str]) -> Column:
     return F.size(reduce(F.array_intersect, [at(k) for k in range(len(words))]))
 
 
-def bm25(index: DataFrame, sizes: DataFrame, terms: list[str], any_term: bool = False) -> DataFrame:
-    """(doc, score) of matching docs, lower is better; each term is a phrase of its tokens."""
-    phrases = [w for w in ([x for x in re.findall(r"[^\W_]+", t.lower().translate(str.maketrans(T.ACCENTED, T.PLAIN)))] for t in terms) if w]
+def bm25(index: DataFrame, sizes: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """(doc, score) of docs that match all terms of any group, lower is better; each term is a phrase of its tokens."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower().translate(str.maketrans(T.ACCENTED, T.PLAIN)))
+    parsed = [[w for w in map(words, group) if w] for group in groups]
+    phrases = [p for group in parsed for p in group]
     wanted = sorted({x for p in phrases for x in p})
     rows = index.where(F.col("token").isin(wanted)).groupBy("doc", "col").agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("m"))
     weight = F.when(F.col("col") == 0, TITLE_WEIGHT).otherwise(TEXT_WEIGHT)
@@ -91,14 +123,43 @@ def bm25(index: DataFrame, sizes: DataFrame, terms: list[str], any_term: bool =
     hits = hits.groupBy("doc").agg(*[F.sum(f"h{i}").alias(f"h{i}") for i in range(len(phrases))])
     seen = hits.agg(*[F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]).first()
     stats = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    import math
-
     idf = [max(1e-6, math.log((stats["n"] - seen[f"n{i}"] + 0.5) / (seen[f"n{i}"] + 0.5))) for i in range(len(phrases))]
-    tests = [F.col(f"h{i}") > 0 for i in range(len(phrases))]
-    match = reduce(lambda a, b: a | b if any_term else a & b, tests)
+    tests, at = [], 0
+    for group in parsed:
+        if group:
+            tests.append(reduce(and_, [F.col(f"h{i}") > 0 for i in range(at, at + len(group))]))
+        at += len(group)
     norm = K1 * (1 - B + B * F.col("size") / F.lit(stats["mean"]))
     part = lambda i: F.lit(idf[i]) * (F.col(f"h{i}") * (K1 + 1)) / (F.col(f"h{i}") + norm)
-    return hits.where(match).join(sizes, "doc").select("doc", (-reduce(lambda a, b: a + b, [part(i) for i in range(len(phrases))])).alias("score"))
+    return hits.where(reduce(or_, tests)).join(sizes, "doc").select("doc", (-reduce(lambda a, b: a + b, [part(i) for i in range(len(phrases))])).alias("score"))
+
+
+def filtered(sessions: DataFrame, query: Query) -> DataFrame:
+    """sessions(agent_name, project_kind, project_key, project_name, directory, tags) that pass the agent, project, folder and tag filters."""
+    f = query.filters
+    if "agent" in f:
+        sessions = sessions.where(F.lower("agent_name") == f["agent"])
+    for name in ("project_kind", "project_key"):
+        if name in f:
+            sessions = sessions.where(F.col(name) == f[name])
+    if "project" in f:
+        needle = f["project"].lower()
+        sessions = sessions.where(reduce(or_, [F.lower(F.coalesce(c, F.lit(""))).contains(needle) for c in ("project_key", "project_name", "directory")]))
+    for tag in f.get("tags", []):
+        sessions = sessions.where(F.array_contains("tags", tag))
+    return in_project(sessions, path=f["cwd"]) if "cwd" in f else sessions
+
+
+def with_options(query: Query, **options) -> Query:
+    """Explicit options beat qualifiers; tags and tools are united."""
+    given = {k: v for k, v in options.items() if v is not None}
+    joined = {k: list(dict.fromkeys([*given[k], *query.filters.get(k, [])])) for k in ("tags", "tools") if k in given}
+    return Query(query.groups, query.filters | given | joined)
+
+
+def file_hits_with_text(text: DataFrame, files: DataFrame) -> DataFrame:
+    """Text hits that are file hits too, where both are asked for explicitly."""
+    return text.join(files.select("ref").distinct(), "ref", "left_semi")
 
 
 def holds(text: Column, terms: list[str], any_term: bool = False) -> Column:
@@ -112,7 +173,7 @@ def match_types(sessions: DataFrame, messages: DataFrame, terms: list[str], any_
     kind = F.when(F.col("m.role") == "user", "user_message").when(F.col("m.role") == "tool", "tool_output").otherwise("assistant_reply")
     in_title = holds(F.col("title"), terms, any_term)
     rows = sessions.join(first, "ref", "left")
-    return rows.select("ref", "title", F.when(in_title, "title").otherwise(kind).alias("match_type"), F.when(in_title, F.col("title")).otherwise(T.snippet(F.col("m.text"), terms[0])).alias("snippet"))
+    return rows.select("ref", "title", F.when(in_title, "title").otherwise(kind).alias("match_type"), F.when(in_title, F.col("title")).otherwise(T.snippet(F.col("m.text"), terms)).alias("snippet"))
 
 
 def tools_and_files(sessions: DataFrame, tools: DataFrame, files: DataFrame, query: Query) -> DataFrame:

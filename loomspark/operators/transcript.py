@@ -8,14 +8,33 @@ from pyspark.sql import Window as W
 
 from loomspark.operators.reduce import reduce_sessions
 
-#: Blocks that carry internal text, dropped with their content, to the end if unclosed.
-INTERNAL_TAGS = ("system-reminder", "local-command-caveat", "command-name", "command-message", "local-command-stdout")
+#: Tags whose block is internal text, tags of which only the marks go, and internal kinds of events.
+INTERNAL_TAGS = ("command-message", "command-name", "local-command-caveat", "local-command-stdout", "system-reminder")
+BARE_TAGS = ("command-args",)
+INTERNAL_EVENTS = ("progress", "file history snapshot", "queue operation", "last prompt")
 
 
-def cleaned(text: Column, tags: tuple[str, ...] = INTERNAL_TAGS) -> Column:
-    for tag in tags:
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", "")
-    return F.trim(text)
+def cleaned(text: Column) -> Column:
+    """Text without internal blocks (to the end where unclosed), loose marks and spaces at line ends; null if nothing is left."""
+    for tag in INTERNAL_TAGS:
+        block = rf"<{tag}\b[^>]*>.*?</{tag}>"
+        text = F.regexp_replace(text, rf"(?is)(^|\r?\n)[ \t]*{block}[ \t]*(?:\r?\n|\z)", "$1")
+        text = F.regexp_replace(text, rf"(?is){block}", "")
+        text = F.regexp_replace(text, rf"(?is)\n*<{tag}\b[^>]*>.*\z", "")
+    marks = "|".join((*INTERNAL_TAGS, *BARE_TAGS))
+    text = F.regexp_replace(text, rf"(?i)</?(?:{marks})\b[^>]*>", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+(?=\r?\n|\z)", ""), r"(?:\r?\n)+\z", "")
+    return F.when(F.trim(F.regexp_replace(text, r"\s+", " ")) != "", text)
+
+
+def is_internal_event(kind: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(kind)), "[_-]+", " ").isin(*INTERNAL_EVENTS)
+
+
+def clean_messages(messages: DataFrame) -> DataFrame:
+    """messages(.., parts array<struct<type, text>>) with cleaned parts; internal kinds, empty parts and messages without parts go."""
+    kept = F.filter(F.transform("parts", lambda p: F.struct(p["type"].alias("type"), cleaned(p["text"]).alias("text"))), lambda p: p["text"].isNotNull() & ~is_internal_event(p["type"]))
+    return messages.withColumn("parts", kept).where(F.size("parts") > 0)
 
 
 def tool_status(status: Column, has_error: Column, has_output: Column) -> Column:

@@ -25,18 +25,18 @@ def query(sql: str, *parts: str):
 
 
 class Model:
-    """The lens and what hangs on it, each made once."""
+    """The lens and what hangs on it, each written once for an application."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.messages = lens.messages(spark, sf_dir)
-        self.sessions = lens.sessions(spark, sf_dir, self.messages)
-        self._mount = None
+        self.spark, self.sf_dir = spark, sf_dir
+        self.messages, self.sessions = lens.messages(spark, sf_dir), lens.sessions(spark, sf_dir)
+
+    def _kept(self, name: str, build) -> DataFrame:
+        return lens.kept(self.spark, self.sf_dir, name, build)
 
     @property
     def closure(self) -> DataFrame:
-        if self._mount is None:
-            self._mount = closure.mount(self.sessions)
-        return self._mount
+        return self._kept("closure", lambda: closure.mount(self.sessions))
 
     @property
     def entries(self) -> DataFrame:
@@ -44,21 +44,21 @@ class Model:
 
     @property
     def facts(self) -> DataFrame:
-        return facts.message_facts(self.messages, self.sessions)
+        return self._kept("facts", lambda: facts.message_facts(self.messages, self.sessions))
 
     @property
     def summary(self) -> DataFrame:
-        return facts.session_summary(self.facts)
+        return self._kept("summary", lambda: facts.session_summary(self.facts))
 
     @property
     def models(self) -> DataFrame:
-        return facts.model_costs(self.facts)
+        return self._kept("models", lambda: facts.model_costs(self.facts))
 
     def costs(self, start: int = FROM, end: int = TO) -> DataFrame:
-        return closure.checkpointed(attribution.attributed_costs(self.sessions, self.closure, self.facts, self.summary, self.models, start, end))
+        return self._kept(f"costs-{start}-{end}", lambda: attribution.attributed_costs(self.sessions, self.closure, self.facts, self.summary, self.models, start, end))
 
     def usage(self, start: int = FROM, end: int = TO) -> DataFrame:
-        return closure.checkpointed(attribution.attributed_usage(self.sessions, self.closure, self.facts, self.summary, start, end))
+        return self._kept(f"usage-{start}-{end}", lambda: attribution.attributed_usage(self.sessions, self.closure, self.facts, self.summary, start, end))
 
 
 def money(column: str, places: int = 2):

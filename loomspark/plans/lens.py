@@ -5,10 +5,15 @@ Each table is defined as a DataFrame and, for the oracle, as DuckDB SQL. Times a
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomspark.operators.closure import shared_folder
+
 DAY = 86_400_000
 #: The window of the registered dashboard queries: 1997-01-01 to 1998-06-30, both inclusive.
 FROM, TO = 852_076_800_000, 899_251_199_999
@@ -19,7 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths of the tables written by kept(), by application, scale and name.
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once for an application as Parquet in the shared folder and read from there."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _KEPT:
+        path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _KEPT[key] = path
+    return spark.read.parquet(_KEPT[key])
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "messages", lambda: made_messages(spark, sf_dir))
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "sessions", lambda: made_sessions(spark, sf_dir, messages(spark, sf_dir)))
+
+
+def made_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per message: ref, message_index, role, model, tool, times, tokens, cost and its source."""
     items = table(spark, sf_dir, "lineitem").alias("l").join(table(spark, sf_dir, "part").alias("p"), F.col("l_partkey") == F.col("p_partkey"))
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -55,9 +82,8 @@ PARENT = """CASE WHEN o_orderkey % 97 = 5 THEN o_orderkey + 100000000
   WHEN o_orderkey % 6 IN (1, 2, 4) THEN o_orderkey - 1 END"""
 
 
-def sessions(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+def made_sessions(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
     """One row per session head with its own stats; parent_ref may be missing, absent or part of a cycle."""
-    facts = messages(spark, sf_dir) if facts is None else facts
     sums = facts.groupBy(F.col("order_key").alias("k")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in ("input", "output", "cache_read", "cache_create", "cost")])
     orders = table(spark, sf_dir, "orders")
     owners = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))

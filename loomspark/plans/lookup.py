@@ -29,6 +29,13 @@ def docs(spark, sf_dir):
     return lens.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.substring("text", 1, 100).alias("title"), "text")
 
 
+def index_of(spark, sf_dir):
+    """The postings, sorted by token so that a query reads few row groups, and the sizes; written once."""
+    both = search.postings(docs(spark, sf_dir))
+    index = lens.kept(spark, sf_dir, "postings", lambda: both[0].repartitionByRange("token").sortWithinPartitions("token"))
+    return index, lens.kept(spark, sf_dir, "sizes", lambda: both[1])
+
+
 TOKENS = r"""tok AS (SELECT doc_id AS doc, regexp_extract_all(strip_accents(lower(substr(text, 1, 100))), '[\p{L}\p{N}]+') AS a, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS b FROM documents)"""
 
 
@@ -43,16 +50,20 @@ def bm25_sql(tests: list[str], join: str) -> str:
 
 @query(bm25_sql(["len(list_filter({0}, lambda t: t = 'the'))", "len(list_filter({0}, lambda t: t = 'with'))"], " AND ") + " ORDER BY score, doc LIMIT 50")
 def search_bm25(spark, sf_dir):
-    index, sizes = search.postings(docs(spark, sf_dir))
-    rows = search.bm25(index, sizes, TERMS).withColumn("score", F.round("score", 6))
+    rows = search.bm25(*index_of(spark, sf_dir), [TERMS]).withColumn("score", F.round("score", 6))
     return rows.orderBy("score", "doc").limit(50)
 
 
 @query(bm25_sql(["len(list_filter(range(1, len({0})), lambda i: {0}[i] = 'of' AND {0}[i + 1] = 'the'))", "len(list_filter({0}, lambda t: t = 'pour'))"], " OR "))
 def search_phrase_or(spark, sf_dir):
-    index, sizes = search.postings(docs(spark, sf_dir))
     parsed = search.parse_query('"of the" OR pour')
-    return search.bm25(index, sizes, parsed.terms, parsed.any_term).withColumn("score", F.round("score", 6))
+    return search.bm25(*index_of(spark, sf_dir), parsed.groups).withColumn("score", F.round("score", 6))
+
+
+@query(bm25_sql(["len(list_filter({0}, lambda t: t = 'the'))", "len(list_filter({0}, lambda t: t = 'de'))", "len(list_filter({0}, lambda t: t = 'pour'))"], "#").replace("h0 > 0#h1 > 0#h2 > 0", "h0 > 0 OR (h1 > 0 AND h2 > 0)"))
+def search_mixed_or(spark, sf_dir):
+    """the, or both of the other two: AND binds tighter than OR."""
+    return search.bm25(*index_of(spark, sf_dir), search.parse_query("the or de pour").groups).withColumn("score", F.round("score", 6))
 
 
 def talks(spark, sf_dir):
@@ -74,11 +85,12 @@ def search_match_type(spark, sf_dir):
     return search.match_types(titles, messages, TERMS).select("ref", "match_type")
 
 
-@query(r"""SELECT ref, message_index, CASE WHEN pos > 0 THEN CASE WHEN s > 1 THEN '…' ELSE '' END || substr(flat, s, pos + 4 + 80 - s) || CASE WHEN pos + 84 <= length(flat) THEN '…' ELSE '' END END AS snippet
-  FROM (SELECT *, greatest(pos - 80, 1) AS s FROM (SELECT ref, message_index, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS flat, instr(lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')), 'with') AS pos FROM m))""", TALKS)
+@query(r"""SELECT ref, message_index, CASE WHEN s > 0 THEN '… ' ELSE '' END || substr(text, s + 1, e - s) || CASE WHEN e < length(text) THEN ' …' ELSE '' END AS snippet
+  FROM (SELECT *, greatest(pos - 80, 0) AS s, least(length(text), pos + length(term) + 80) AS e FROM (SELECT *, instr(lower(text), term) - 1 AS pos
+  FROM (SELECT *, CASE WHEN contains(lower(text), 'with') THEN 'with' WHEN contains(lower(text), 'pour') THEN 'pour' ELSE 'with' END AS term FROM m)))""", TALKS)
 def search_snippet(spark, sf_dir):
     messages, _ = talks(spark, sf_dir)
-    return messages.select("ref", "message_index", T.snippet(F.col("text"), "with").alias("snippet"))
+    return messages.select("ref", "message_index", T.snippet(F.col("text"), ["with", "pour"]).alias("snippet"))
 
 
 def search_highlights(spark, sf_dir):
@@ -100,7 +112,7 @@ def search_tag_tool_file_filter(spark, sf_dir):
 @query("SELECT ref, round(cost, 2) AS cost FROM (SELECT entry AS ref, cost FROM incl) WHERE cost > 100000 AND cost <= 900000", *BASE, CLOSURE_SQL)
 def search_cost_filter(spark, sf_dir):
     m = Model(spark, sf_dir)
-    bounds = search.parse_query("cost:100000..900000").filters["cost"] | {"above": True}
+    bounds = search.parse_query("cost:5..900000 cost:>100000").filters["cost"]
     rows = closure.inclusive_stats(m.sessions, m.closure).select(F.col("entry").alias("ref"), "cost")
     return search.within_cost(rows, bounds, "cost").withColumn("cost", F.round("cost", 2))
 
@@ -116,7 +128,7 @@ def parent_titles(spark, sf_dir):
     return search.with_parent_titles(dashboard.in_window(heads, FROM, TO).select("ref"), heads)
 
 
-MERGE = """a AS (SELECT ref, row_number() OVER (ORDER BY latest DESC, ref) AS place FROM (SELECT ref, max(latest) AS latest FROM files WHERE kind = 'edit' GROUP BY 1) ORDER BY 2 LIMIT 30),
+MERGE = """a AS (SELECT ref, row_number() OVER (ORDER BY latest DESC, ref) AS place FROM (SELECT ref, max(latest) AS latest FROM files WHERE kind = 'edit' GROUP BY 1) ORDER BY 2 LIMIT 50),
 b AS (SELECT ref, row_number() OVER (ORDER BY activity DESC, ref) AS place FROM sessions ORDER BY 2 LIMIT 60)"""
 
 
@@ -130,7 +142,7 @@ def _ranked(rows, *order):
 @query("SELECT ref, source::INT AS source, place FROM (SELECT ref, source, place, row_number() OVER (PARTITION BY ref ORDER BY source, place) AS rn FROM (SELECT ref, 0 AS source, place FROM a UNION ALL SELECT ref, 1, place FROM b)) WHERE rn = 1 ORDER BY source, place, ref LIMIT 50", *BASE, FACTS_SQL, FILES, MERGE)
 def search_merge(spark, sf_dir):
     m = Model(spark, sf_dir)
-    edited = facts.file_activity(m.facts).where("kind = 'edit'").groupBy("ref").agg(F.max("latest").alias("latest")).orderBy(F.desc("latest"), "ref").limit(30)
+    edited = facts.file_activity(m.facts).where("kind = 'edit'").groupBy("ref").agg(F.max("latest").alias("latest")).orderBy(F.desc("latest"), "ref").limit(50)
     recent = m.sessions.select("ref", "activity").orderBy(F.desc("activity"), "ref").limit(60)
     return search.merge_sources([_ranked(edited, F.desc("latest"), "ref"), _ranked(recent, F.desc("activity"), "ref")], 50)
 

@@ -53,11 +53,18 @@ def test_cost_detail_and_fallback(spark):
 
 
 def test_query_language():
-    q = search.parse_query('agent:Codex tool:bash "two words" cost:>1 cost:1..2 nope:x kind:oops tag:docs project-key:')
-    assert q.terms == ["two words", "nope:x", "kind:oops"]
-    assert q.filters == {"agent": "codex", "tools": ["bash"], "tags": ["docs"], "cost": {"cost_min": 1.0, "cost_max": 2.0, "above": False, "below": False}}
-    assert search.parse_query("a OR b").any_term and not search.parse_query("OR b").any_term
-    assert search.cost_bounds(">=.5") == {"cost_min": 0.5, "cost_max": None, "above": False, "below": False} and search.cost_bounds("..") is None
+    q = search.parse_query('agent:Codex tool:bash tool:BASH "two words" cost:1..2 cost:>1.5 nope:x kind:oops tag:docs tag:odd project-key: filekind:edit cost:x')
+    assert q.groups == [["two words", "nope:x", "kind:oops", "tag:odd"]]
+    assert q.filters == {"agent": "codex", "tools": ["bash"], "tags": ["docs"], "file_kind": "edit", "cost": {"cost_min": 1.5, "cost_max": 2.0, "above": True, "below": False}}
+    assert search.parse_query("a b or c").groups == [["a", "b"], ["c"]] and search.parse_query("OR b OR").groups == [["b"]]
+    assert search.cost_bounds(">=5") == {"cost_min": 5.0, "above": False} and search.cost_bounds("..") == search.cost_bounds("a..") == {}
+    assert search.with_options(q, agent="x", tags=["bugfix"]).filters["tags"] == ["bugfix", "docs"]
+
+
+def test_cleaned_texts(spark):
+    texts = ["a\n<system-reminder>x\ny</system-reminder>\nb  \n", "<command-args>keep</command-args>", "<command-name>x</command-name>", "a <system-reminder> open", "t </command-name>u"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(transcript.cleaned(F.col("t"))).collect()
+    assert [r[0] for r in rows] == ["a\nb", "keep", None, "a", "t u"]
 
 
 def test_half_an_identity_matches_nothing(spark):
@@ -68,9 +75,9 @@ def test_half_an_identity_matches_nothing(spark):
 def test_bm25_folds_accents_and_needs_phrases(spark):
     docs = spark.createDataFrame([(1, "Café note", "quick brown fox"), (2, "x", "brown quick cafe"), (3, "y", "nothing")], "doc long, title string, text string")
     index, sizes = search.postings(docs)
-    assert {r.doc for r in search.bm25(index, sizes, ["cafe"]).collect()} == {1, 2}
-    assert {r.doc for r in search.bm25(index, sizes, ["quick brown"]).collect()} == {1}
-    best = search.bm25(index, sizes, ["cafe"]).orderBy("score").first()
+    assert {r.doc for r in search.bm25(index, sizes, [["cafe"]]).collect()} == {1, 2}
+    assert {r.doc for r in search.bm25(index, sizes, [["quick brown"]]).collect()} == {1}
+    best = search.bm25(index, sizes, [["cafe"]]).orderBy("score").first()
     assert best.doc == 1
 
 
