@@ -96,9 +96,14 @@ def _unwrapped(value: str) -> str:
     return value[1:-1].strip() if len(value) > 1 and value[0] == value[-1] == '"' else value.strip('"')
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(doc, c) of docs(doc, title, text): the tokens of both columns, which the index and the sizes are made of."""
+    return docs.select("doc", F.array(F.struct(F.lit(0).alias("col"), T.tokens(F.col("title")).alias("w")), F.struct(F.lit(1).alias("col"), T.tokens(F.col("text")).alias("w"))).alias("c"))
+
+
 def postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, token, col, positions) and (doc, size) of docs(doc, title, text): the index, to be written partitioned by token."""
-    both = docs.select("doc", F.array(F.struct(F.lit(0).alias("col"), T.tokens(F.col("title")).alias("w")), F.struct(F.lit(1).alias("col"), T.tokens(F.col("text")).alias("w"))).alias("c"))
+    """(doc, token, col, positions) and (doc, size) of docs(doc, title, text) or of their tokens: the index, to be written partitioned by token."""
+    both = docs if "c" in docs.columns else tokenised(docs)
     sizes = both.select("doc", (F.size(F.get("c", F.lit(0))["w"]) + F.size(F.get("c", F.lit(1))["w"])).cast("long").alias("size"))
     flat = both.select("doc", F.inline("c")).select("doc", "col", F.posexplode("w").alias("pos", "token"))
     index = flat.groupBy("doc", "token", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # bounded by one text

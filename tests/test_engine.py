@@ -53,7 +53,7 @@ def test_cost_detail_and_fallback(spark):
 
 
 def test_query_language():
-    q = search.parse_query('agent:Codex tool:bash tool:BASH "two words" cost:1..2 cost:>1.5 nope:x kind:oops tag:docs tag:odd project-key: filekind:edit cost:x')
+    q = search.parse_query('agent:Codex tool:bash tool:BASH "two words" cost:1..2 cost:>1.5 nope:x kind:oops tag:docs tag:odd project-key:"" filekind:edit cost:x')
     assert q.groups == [["two words", "nope:x", "kind:oops", "tag:odd"]]
     assert q.filters == {"agent": "codex", "tools": ["bash"], "tags": ["docs"], "file_kind": "edit", "cost": {"cost_min": 1.5, "cost_max": 2.0, "above": True, "below": False}}
     assert search.parse_query("a b or c").groups == [["a", "b"], ["c"]] and search.parse_query("OR b OR").groups == [["b"]]
