@@ -1,9 +1,9 @@
 """Operator 5, toxicity by a weighted lexicon matched with Aho-Corasick.
 
 Texts are folded first, in two ways: lower case, homoglyphs of other scripts and digit substitutions to one
-letter each (so l, i and 1 are one), everything else to spaces; the second way also takes accents away. The
-lexicon holds folded words and word beginnings, with the log of how much denser they stand in toxic texts as
-weight. It is learned from labelled documents: Spark counts in how many toxic and clean texts a term occurs,
+letter each (so l, i and 1 are one), everything else to spaces; the second way also takes accents away, and whole
+words of four letters or more are matched in it too. The lexicon holds folded words and word beginnings, with the log of how
+much denser they stand in toxic texts as weight. It is learned from labelled documents: Spark counts in how many toxic and clean texts a term occurs,
 and occurs densely; a likelihood-ratio test against chance over all terms tried selects terms, and words that a
 selected beginning would hit but that clean texts use become exception phrases. A hit inside an exception phrase
 doesn't count. The sum of weights is normalised by length: a logistic function of it, of the number of words and
@@ -39,13 +39,15 @@ HOMOGLYPHS = {
 }
 #: Accented letters, folded in the second way.
 ACCENTS = {"a": "á à â ã å ā", "c": "ć ç", "e": "è é ê ë ē", "i": "ì í î ï ī", "n": "ñ", "o": "ò ó ô õ ō", "s": "ş š", "u": "ù ú û ū", "y": "ý ÿ"}
-LENGTHS = (3, 4, 5, 6, 7, 8)
+LENGTHS = (3, 4, 5, 6, 7)
 #: Bounds of the model: labelled rows it is fitted on, terms it keeps (those of the largest gain).
 MAX_LABELS = 20_000
 MAX_TERMS = 5_000
 #: A term is dense in a text where it is one of this many words; the least weight of a term of the lexicon.
 DENSE, MIN_WEIGHT = 150, 1.5
-FOLDS = 5
+FOLDS = 3
+#: Terms that a task counts before it hands them on.
+HELD = 200_000
 #: Where few labelled texts have hits the coefficients stay near these: 1, log of the sum, log of words, sum for 10 words, a single hit.
 PRIOR = (0.0, 4.0, -2.0, 1.5, -0.7)
 
@@ -80,9 +82,9 @@ def _terms(word: str) -> list[str]:
 
 
 class Model(NamedTuple):
-    """Terms of each fold table with their weights, exception phrases, coefficients of the score."""
+    """Terms with their weights, exception phrases, coefficients of the score."""
 
-    lexicon: list[dict[str, float]]
+    lexicon: dict[str, float]
     exceptions: list[str]
     coefficients: tuple[float, ...]
 
@@ -97,30 +99,33 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -
 
 
 def term_counts(train: DataFrame) -> DataFrame:
-    """(part, way, term, t, c, dt, dc, rt, rc) of train(part, text, toxic): toxic and clean texts with the term, with it densely, and its summed densities.
+    """(part, term, t, c, dt, dc, rt, rc) of train(part, text, toxic): toxic and clean texts with the term, with it densely, and its summed densities.
 
     The term '' has the numbers of texts, and its densities the sums of 1 / words.
     """
     names = ["t", "c", "dt", "dc", "rt", "rc"]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables, seen = fold_tables(), defaultdict(lambda: [0, 0, 0, 0, 0.0, 0.0])
+        table, seen = _fold_table(False), defaultdict(lambda: [0, 0, 0, 0, 0.0, 0.0])
+        made = lambda: pd.DataFrame([(*key, *row) for key, row in seen.items()], columns=["part", "term", *names])
         for batch in batches:
             for part, text, toxic in zip(batch["part"], batch["text"], batch["toxic"]):
                 side = 0 if toxic == 1 else 1
-                for way, table in enumerate(tables):
-                    words = fold(text, table).split()
-                    found = Counter(x for w in words for x in _terms(w))
-                    found[""] = 1
-                    for term, k in found.items():
-                        row = seen[part, way, term]
-                        row[side] += 1
-                        row[2 + side] += DENSE * k >= len(words)
-                        row[4 + side] += k / max(1, len(words))
-        yield pd.DataFrame([(*key, *row) for key, row in seen.items()], columns=["part", "way", "term", *names])
-
-    schema = "part int, way int, term string, t long, c long, dt long, dc long, rt double, rc double"
-    return train.mapInPandas(count, schema).groupBy("part", "way", "term").agg(*[F.sum(x).alias(x) for x in names])
+                words = fold(text, table).split()
+                found = Counter(x for w in words for x in _terms(w))
+                found[""] = 1
+                for term, k in found.items():
+                    row = seen[part, term]
+                    row[side] += 1
+                    row[2 + side] += DENSE * k >= len(words)
+                    row[4 + side] += k / max(1, len(words))
+                if len(seen) > HELD:
+                    yield made()
+                    seen.clear()
+        yield made()
+
+    schema = "part int, term string, t long, c long, dt long, dc long, rt double, rc double"
+    return train.mapInPandas(count, schema).groupBy("part", "term").agg(*[F.sum(x).alias(x) for x in names])
 
 
 def _gain(t: Column, c: Column, base: float) -> Column:
@@ -136,12 +141,12 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS,
 
     train = labelled(docs, labels, max_labels).select(F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("part"), "text", "toxic").coalesce(16)
     counts = settle(term_counts(train))
-    none = Model([{}, {}], [], PRIOR)
-    sizes = counts.where("term = '' and way = 0").collect()  # one row a fold
-    n_terms = counts.select("way", "term").distinct().count()
+    none = Model({}, [], PRIOR)
+    sizes = counts.where("term = ''").collect()  # one row a fold
+    n_terms = counts.select("term").distinct().count()
     left_out = [*range(FOLDS), -1]  # the last leaves nothing out
     terms, ok = counts.where("term <> ''"), F.lit(False)
-    weighed = terms.groupBy("way", "term").agg(*[F.sum(F.when(F.col("part") != p, F.col(x)).otherwise(0)).alias(f"{x}{i}") for i, p in enumerate(left_out) for x in ("t", "c", "dt", "dc", "rt", "rc")])
+    weighed = terms.groupBy("term").agg(*[F.sum(F.when(F.col("part") != p, F.col(x)).otherwise(0)).alias(f"{x}{i}") for i, p in enumerate(left_out) for x in ("t", "c", "dt", "dc", "rt", "rc")])
     columns = []
     for i, p in enumerate(left_out):
         kept = [r for r in sizes if r["part"] != p]
@@ -160,9 +165,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS,
         if p == -1:
             columns.append(gain.alias("gain"))
         ok = ok | good
-    rows = weighed.where(ok).select("way", "term", *columns).orderBy(F.desc("gain"), "way", "term").limit(max_terms).collect()
-    lexicons = [[{r["term"]: r[f"w{i}"] for r in rows if r["way"] == way and r[f"w{i}"] > 0} for way in (0, 1)] for i in range(len(left_out))]
-    exceptions = _exceptions(counts, lexicons[-1][0], max_terms)
+    rows = weighed.where(ok).select("term", *columns).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
+    lexicons = [{r["term"]: r[f"w{i}"] for r in rows if r[f"w{i}"] > 0} for i in range(len(left_out))]
+    exceptions = _exceptions(counts, lexicons[-1], max_terms)
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matchers = [matcher(lexicon, exceptions) for lexicon in lexicons[:-1]]
@@ -180,7 +185,7 @@ def _exceptions(counts: DataFrame, lexicon: dict[str, float], max_terms: int) ->
     begins = [x for x in lexicon if not x.endswith(" ")]
     if not begins:
         return []
-    words = counts.where("way = 0 and term like '% '").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("c >= 2 and t < 0.3 * (t + c)")
+    words = counts.where("term like '% '").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("c >= 2 and t < 0.3 * (t + c)")
     words = words.where(F.substring("term", 1, min(LENGTHS) + 1).isin(sorted({x[: min(LENGTHS) + 1] for x in begins})))
     phrases = [r["term"] for r in words.orderBy(F.desc("c"), "term").limit(max_terms).collect()]
     return [p for p in phrases if p not in lexicon and any(p.startswith(x) for x in begins)]
@@ -203,12 +208,13 @@ def features(total: float, hits: int, words: int) -> tuple[float, ...]:
     return 1.0, math.log1p(total), math.log1p(words), 10 * total / (words + 20), float(hits == 1)
 
 
-def matcher(lexicon: Sequence[dict[str, float]], exceptions: Sequence[str]):
+def matcher(lexicon: dict[str, float], exceptions: Sequence[str]):
     """match(text) -> (sum of weights, number of hits, number of words)."""
     import ahocorasick
 
     tables, automata = fold_tables(), []
-    for table, terms in zip(tables, lexicon):
+    plain = {term: weight for term, weight in lexicon.items() if term.endswith(" ") and len(term) >= 6 and term.isascii()}
+    for table, terms in zip(tables, (lexicon, plain)):
         values: dict[str, tuple[int, float]] = {term: (len(term), weight) for term, weight in terms.items()}
         values |= {(spared := f" {fold(p, table).strip()} "): (len(spared), -1.0) for p in exceptions}
         automaton = ahocorasick.Automaton() if values else None
