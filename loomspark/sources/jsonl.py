@@ -17,16 +17,16 @@ CODEX = f"timestamp STRING, type STRING, payload STRUCT<type STRING, role STRING
 
 
 def read_lines(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl", after: str | None = None) -> DataFrame:
-    """(file, line, r, bad): parsed records of all files below path in file order; bad marks lines that don't parse.
+    """(file, changed, line, r, bad): parsed records of all files below path in file order; bad marks lines that don't parse.
 
     after prunes files by modification time.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if after:
         reader = reader.option("modifiedAfter", after)
-    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line"), F.trim("value").alias("value"))
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line"), F.trim("value").alias("value"))
     rows = rows.where("value <> ''").withColumn("bad", F.try_parse_json("value").isNull())
-    return rows.select("file", "line", F.from_json("value", schema).alias("r"), "bad")
+    return rows.select("file", "changed", "line", F.from_json("value", schema).alias("r"), "bad")
 
 
 def skipped(lines: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def _visible_text(content: Column) -> Column:
     """A content that is a text, or the text parts of an array."""
     parts = F.from_json(content, "ARRAY<STRUCT<type STRING, text STRING>>")
     texts = F.array_join(F.transform(F.filter(parts, lambda p: p["type"].isin("text", "input_text", "output_text")), lambda p: p["text"]), "\n")
-    return F.when(content.startswith("["), texts).otherwise(content)
+    return F.coalesce(F.when(content.startswith("["), texts), content)
 
 
 def claude_messages(spark: SparkSession, path: str) -> DataFrame:

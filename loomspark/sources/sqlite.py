@@ -29,6 +29,12 @@ def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def column_names(path: str, table: str) -> set[str]:
+    """Names of a table's columns; none where it is missing. SQLite takes unknown quoted names for texts, so ask first."""
+    with connect(path) as db:
+        return {row[1] for row in db.execute(f"PRAGMA table_info({quoted(table)})")}
+
+
 class SqliteReader(DataSourceReader):
     def __init__(self, columns: list[str], options: dict[str, str]):
         self.columns, self.path, self.table, self.ranges = columns, options["path"], options["table"], int(options.get("ranges", 8))

@@ -213,3 +213,70 @@ def test_bookmark_and_alias_writes(spark):
     assert {(r.ref, r.marked) for r in marks.collect()} == {("a", 5), ("b", 1)}
     names = bookmarks.rename(spark.createDataFrame([("a", "x"), ("b", "y")], "ref string, alias string"), spark.createDataFrame([("a", " z "), ("b", " "), ("c", "w" * 161)], "ref string, alias string"))
     assert {(r.ref, r.alias) for r in names.collect()} == {("a", "z")}
+
+
+def test_pi_shows_the_last_branch(spark, tmp_path):
+    from loomspark.sources import pi
+
+    entry = lambda id, parent, at, **k: {"id": id, "parentId": parent, "timestamp": at, **k}
+    say = lambda id, parent, at, role, content=None, **k: entry(id, parent, at, type="message", message={"role": role, "content": content, **k})
+    usage_of = {"input": 10, "output": 7, "cacheRead": 4, "cacheWrite": 1, "cost": {"total": 0.5}}
+    call = {"type": "toolCall", "id": "c1", "name": "read", "arguments": {"path": "a.py"}}
+    records = [
+        {"type": "session", "id": "top", "timestamp": 1000, "cwd": "/w/dir"},
+        say("a", None, 2000, "user", "[WIP] fix\nit"),
+        say("x", "a", 9000, "user", "left branch"),
+        say("b", "a", 3000, "assistant", [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "<system-reminder>z</system-reminder>"}, call], model=" m ", usage=usage_of),
+        say("c", "b", 4000, "toolResult", [{"type": "text", "text": "out"}], toolCallId="c1", isError=True),
+        say("c2", "c", 4500, "toolResult", "late", toolCallId="c1"),
+        say("d", "c2", 5000, "bashExecution", command="ls", output="o", exitCode=0),
+        entry("e", "d", 6000, type="compaction", summary=" short "),
+        entry("f", "e", 7000, type="custom_message", content="hidden", display=False),
+        entry("g", "f", 8000, type="session_info", name=" "),
+        say("h", "g", 8500, "user", [{"type": "image"}, {"type": "text", "text": "see"}]),
+    ]
+    (tmp_path / "2024_s_1.jsonl").write_text("\n".join(map(json.dumps, records)))
+    (tmp_path / "headless.jsonl").write_text(json.dumps(say("a", None, 1, "user", "x")))
+    entries = pi.read_entries(spark, str(tmp_path))
+    branch = pi.branches(entries)
+    shown = pi.transcripts(branch)
+    got = shown.where("ref = 's_1'").orderBy("message_index").collect()
+    assert [(r.id, r.role, [(p.type, p.text or p.tool) for p in r.parts]) for r in got] == [
+        ("a", "user", [("text", "[WIP] fix\nit")]), ("b", "assistant", [("reasoning", "hm"), ("tool", "read")]), ("d", "tool", [("tool", "bash")]),
+        ("e", "assistant", [("text", " short")]), ("h", "user", [("text", "[image]\nsee")]),
+    ]
+    head = pi.heads(entries, branch, shown).collect()
+    assert [(h.session_id, h.title, h.directory, h.time_created, h.time_updated, h.message_count, h.input, h.output, h.total_cost, h.cost_source) for h in head] == [("s_1", "[WIP] fix", "/w/dir", 1000, 8500, 5, 15, 7, 0.5, "recorded")]
+    calls = pi.tool_calls(branch, shown).orderBy("message_index").collect()
+    assert [(c.tool, c.status, c.output, json.loads(c.input)) for c in calls] == [("read", "error", "out", {"path": "a.py"}), ("bash", "completed", "o", {"command": "ls"})]
+    assert [tuple(r) for r in pi.model_usage(shown).collect()] == [("s_1", "m", 22)]
+
+
+def test_opencode_tables(spark, tmp_path):
+    from loomspark.sources import opencode
+
+    path = str(tmp_path / "x.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE session (id TEXT, parent_id TEXT, title TEXT, directory TEXT, time_created INTEGER, time_updated INTEGER)")
+        db.execute("CREATE TABLE message (id TEXT, session_id TEXT, time_created INTEGER, data TEXT)")
+        db.execute("CREATE TABLE part (id TEXT, message_id TEXT, time_created INTEGER, data TEXT)")
+        sessions = [("root", None, " ", "/w", 1, None), ("kid", "root", "Kid", "/w", 2, 5), ("deep", "kid", "Deep", "/w", 3, 6), ("lost", "gone", "Lost", "/w", 4, 7), ("bare", None, "Bare", "/w", 5, 8)]
+        db.executemany("INSERT INTO session VALUES (?, ?, ?, ?, ?, ?)", sessions)
+        said = lambda **k: json.dumps(k)
+        messages = [("m1", "root", 1, said(role="user")), ("m2", "root", 2, said(role="odd", cost=0.25, modelID="m", tokens={"input": 3, "output": 4})), ("m3", "root", 3, said(type="queue-operation", role="user")), ("m4", "kid", 1, said(role="user")), ("m5", "deep", 1, "[]"), ("m6", "lost", 1, said(role="user")), ("m7", "bare", 1, said(role="user", cost=9))]
+        db.executemany("INSERT INTO message VALUES (?, ?, ?, ?)", messages)
+        tool = said(type="tool", title="Tool: grep", callID="c", state={"output": "o", "arguments": {"q": 1}})
+        parts = [("p2", "m1", 2, said(type="text", text="second")), ("p1", "m1", 1, said(type="text", text="First line\nmore")), ("p3", "m2", 1, tool), ("p4", "m2", 1, said(type="step-start")), ("p5", "m3", 1, said(type="text", text="x")), ("p6", "m4", 1, said(type="plan", input={"plan": "do"}))]
+        parts += [("p7", "m5", 1, said(type="image", url="u")), ("p8", "m6", 1, said(type="text", text="x")), ("p9", "m7", 1, said(type="text", text="<command-name>x</command-name>")), ("p10", "m7", 1, said(type="progress", text="x"))]
+        db.executemany("INSERT INTO part VALUES (?, ?, ?, ?)", parts)
+    sessions, messages, parts = (opencode.read_table(spark, path, t) for t in ("session", "message", "part"))
+    assert "task_type" not in sessions.columns
+    shown = opencode.transcripts(messages, parts)
+    got = {r.id: r for r in shown.collect()}
+    assert sorted(got) == ["m1", "m2", "m4", "m5", "m6"] and [p.text for p in got["m1"].parts] == ["First line\nmore", "second"]
+    p = got["m2"].parts[0]
+    assert (got["m2"].role, p.tool, p.status, json.loads(p.input), p.output, got["m4"].parts[0].text, got["m5"].role) == ("assistant", "grep", "completed", {"q": 1}, "o", "do", "assistant")
+    heads = {r.session_id: r for r in opencode.heads(sessions, shown).collect()}
+    root = heads["root"]
+    assert sorted(heads) == ["deep", "kid", "root"] and heads["deep"].parent_id == "kid"
+    assert (root.title, root.time_updated, root.message_count, root.input_tokens, root.output_tokens, root.total_cost, root.cost_source, root.parent_id) == ("First line", 1, 2, 3, 4, 0.25, "recorded", None)
