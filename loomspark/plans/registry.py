@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.plans import analytics, lifecycle, lookup, upkeep
+from loomspark.plans import adapters, analytics, lifecycle, lookup, upkeep
 
-QUERIES: dict = analytics.QUERIES | lookup.QUERIES | lifecycle.QUERIES | upkeep.QUERIES
-ORACLES: dict = analytics.ORACLES | lookup.ORACLES | lifecycle.ORACLES | upkeep.ORACLES
+QUERIES: dict = analytics.QUERIES | lookup.QUERIES | lifecycle.QUERIES | upkeep.QUERIES | adapters.QUERIES
+ORACLES: dict = analytics.ORACLES | lookup.ORACLES | lifecycle.ORACLES | upkeep.ORACLES | adapters.ORACLES
