@@ -32,11 +32,17 @@ def read_table(spark: SparkSession, path: str, table: str, ranges: int = 8) -> D
     return spark.read.format("sqlite").schema(schema).option("path", path).option("table", table).option("ranges", str(ranges)).load()
 
 
-def shown_sessions(sessions: DataFrame) -> DataFrame:
+def shown_sessions(sessions: DataFrame, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Roots active between since and until (milliseconds, inclusive), and all below them whatever their activity."""
+    active = F.coalesce("time_updated", "time_created")
+    inside = F.lit(True) if since is None else active >= since
+    inside = inside if until is None else inside & (active <= until)
     if "parent_id" not in sessions.columns:
-        return sessions.where("coalesce(task_type, '') <> 'subagent_child'") if "task_type" in sessions.columns else sessions
+        own = sessions.where("coalesce(task_type, '') <> 'subagent_child'") if "task_type" in sessions.columns else sessions
+        return own.where(inside)
     tree = mount(sessions.select(F.col("id").alias("ref"), F.col("parent_id").alias("parent_ref")))
     roots = tree.where("mount = 'root'").select(F.col("ref").alias("entry"))
+    roots = roots.join(sessions.where(inside).select(F.col("id").alias("entry")), "entry", "left_semi")
     return sessions.join(tree.join(roots, "entry", "left_semi").select(F.col("ref").alias("id")), "id", "left_semi")
 
 
@@ -55,8 +61,8 @@ def transcripts(messages: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(held, "id").select("session_id", "id", "time_created", role.alias("role"), F.col("m.modelID").alias("model"), count("input"), count("output"), cost.alias("cost"), F.when(cost > 0, "recorded").alias("cost_source"), "parts")
 
 
-def heads(sessions: DataFrame, shown: DataFrame) -> DataFrame:
-    """Heads of sessions with the transcripts() shown."""
+def heads(sessions: DataFrame, shown: DataFrame, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Heads of the sessions of shown_sessions() with the transcripts() shown."""
     texts = F.transform(F.filter("parts", lambda p: p["type"] == "text"), lambda p: first_line_title(p["text"]))
     said = F.when(F.col("role") == "user", F.get(F.filter(texts, lambda t: t.isNotNull()), F.lit(0)))
     rows = shown.withColumn("said", said)
@@ -69,7 +75,7 @@ def heads(sessions: DataFrame, shown: DataFrame) -> DataFrame:
     source = F.when(F.col("estimated"), "estimated").when(F.col("total_cost") > 0, "recorded")
     parent = F.when(F.col("parent_id") != "", F.col("parent_id")) if "parent_id" in sessions.columns else F.lit(None).cast("string")
     title = F.coalesce(first_line_title(F.col("title")), "said", F.lit("Untitled Session"))
-    return shown_sessions(sessions).where("id <> ''").join(stats, "id").select(
+    return shown_sessions(sessions, since, until).where("id <> ''").join(stats, "id").select(
         F.col("id").alias("session_id"), parent.alias("parent_id"), title.alias("title"), "directory", "time_created", F.coalesce("time_updated", "time_created").alias("time_updated"),
         "message_count", "input_tokens", "output_tokens", "total_cost", source.alias("cost_source"),
     )

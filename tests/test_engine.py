@@ -280,3 +280,34 @@ def test_opencode_tables(spark, tmp_path):
     root = heads["root"]
     assert sorted(heads) == ["deep", "kid", "root"] and heads["deep"].parent_id == "kid"
     assert (root.title, root.time_updated, root.message_count, root.input_tokens, root.output_tokens, root.total_cost, root.cost_source, root.parent_id) == ("First line", 1, 2, 3, 4, 0.25, "recorded", None)
+    assert {r.session_id for r in opencode.heads(sessions, shown, since=2).collect()} == set() and opencode.heads(sessions, shown, 0, 1).count() == 3
+
+
+def test_cursor_pairs(spark, tmp_path):
+    from loomspark.sources import cursor
+
+    path = str(tmp_path / "state.vscdb")
+    pairs = {
+        "composerData:a": {"composerId": "a", "createdAt": 5, "lastUpdatedAt": 9, "modelConfig": {"modelName": "m0"}, "inputTokenCount": 3, "outputTokenCount": 4},
+        "bubbleId:a:z": {"type": 1, "text": "Fix it\nnow", "createdAt": 6},
+        "bubbleId:a:y": {"type": 2, "modelInfo": {"modelName": "m1"}, "text": "", "toolFormerData": {"name": "read_file_v2", "toolCallId": "c", "status": "failed", "params": '{"path": "x"}', "result": '{"message": "no"}'}, "timingInfo": {"clientRpcSendTime": 7.9}},
+        "bubbleId:a:x": {"type": 2, "text": "done", "tokenCount": {"inputTokens": 1, "outputTokens": 2}},
+        "bubbleId:a:w": {"type": 2, "text": "hidden", "kind": "queue_operation"},
+        "bubbleId:a:v": {"type": 2, "toolFormerData": {"name": "create_plan", "status": "completed", "params": {"plan": " steps "}}},
+        "composerData:b": {"id": "b", "name": "Kept", "subagentInfos": [{"id": "s"}]},
+        "composerData:c": {"id": "c", "chatMessages": []},
+        "bubbleId:gone:1": {"type": 1, "text": "x"},
+    }
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE cursorDiskKV (key TEXT, value TEXT)")
+        db.executemany("INSERT INTO cursorDiskKV VALUES (?, ?)", [(k, json.dumps(v)) for k, v in pairs.items()] + [("composerData:d", "{broken")])
+    rows = cursor.read_pairs(spark, path)
+    found = cursor.composers(rows)
+    shown = cursor.transcripts(rows, found)
+    got = shown.orderBy("rowid").collect()
+    assert [(r.id, r.role, r.model, r.time_created, [(p.type, p.text or p.tool, p.status, p.error) for p in r.parts], r.output) for r in got] == [
+        ("cursor-a-z", "user", "m0", 6, [("text", "Fix it\nnow", None, None)], 0), ("cursor-a-y", "assistant", "m1", 7, [("tool", "read", "error", "no")], 0),
+        ("cursor-a-x", "assistant", "m1", 0, [("text", "done", None, None)], 2), ("cursor-a-v", "assistant", "m1", 0, [("plan", "steps", "success", None)], 0),
+    ]
+    heads = {r.session_id: tuple(r)[1:] for r in cursor.heads(found, shown).collect()}
+    assert heads == {"a": ("Fix it", 5, 9, 4, 3, 4), "b": ("Kept", 0, None, 0, 0, 0)}
