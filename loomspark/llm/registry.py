@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomspark.llm import bpe, decontaminate, linededup, merkle, mixing, pii, quality, secretscan, simhash, toxicity, urlfilter, warc
+from loomspark.llm import audit, bpe, decontaminate, linededup, merkle, mixing, pii, quality, secretscan, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_secret_scans": secretscan.op8_secret_scans,
     "op9_mixing": mixing.op9_mixing,
     "op10_pii_pseudonyms": pii.op10_pii_pseudonyms,
+    "op11_filter_audit": audit.op11_filter_audit,
     "op12_byte_level_bpe": bpe.op12_byte_level_bpe,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
@@ -25,5 +26,6 @@ ORACLES = {
     "op3_url_filters": urlfilter.OP3_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
