@@ -33,6 +33,8 @@ MIN_WORDS, DISTINCT_PERCENT, CAPITALS_PERCENT, MARKUP = 200, 50, 2, b"#$%&*|"
 COPY, GOOD, TOXIC, CELLS = 1 << 4, 1 << 5, 1 << 6, 1 << 7
 #: Bytes of texts that an input partition's own chains hold.
 CHAIN = 32 << 20
+#: Bytes of texts for each partition that they are routed to, if the session's number of them isn't larger.
+ROUTED = 128 << 20
 
 #: hash -> text -> [minimum id, {part: rows}, mask]
 Chains = dict[int, dict[bytes, list]]
@@ -122,8 +124,9 @@ def _routed(rows: Iterable[tuple[int, tuple]]) -> Iterator[Decided]:
 def decided(docs: DataFrame) -> RDD[Decided]:
     """(doc_id, part, mask, rows): each row of docs(doc_id, source, text) with the filters it fails; equal ones may be one row."""
     part = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("long"), part, "text").rdd.mapPartitions(_local)
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTED))
     return rows.repartitionAndSortWithinPartitions(n, lambda key: key % n).mapPartitions(_routed, True)
 
 
