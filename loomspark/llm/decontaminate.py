@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import hashed, let, read, row_key, settle, sized
+from loomspark.llm.common import hashed, let, read, row_key, settle, sized, unused
 
 WORDS, RADIUS, SIMILARITY = 5, 20, 0.8
 SCALE = 1000
@@ -133,8 +133,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, simi
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
-    leaks = sized(find_leaks(docs, benchmark).select(F.col("_row").alias("_leak")).distinct())
-    return docs.join(leaks, row_key() == F.col("_leak"), "left_anti")
+    name = unused(docs, "_leak")
+    leaks = sized(find_leaks(docs.select("doc_id", "text"), benchmark).select(F.col("_row").alias(name)).distinct())
+    return docs.join(leaks, row_key() == F.col(name), "left_anti")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

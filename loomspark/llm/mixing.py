@@ -13,7 +13,7 @@ given) gets rate zero; weights are scaled to sum to one over the sources present
 as the empty string, so rows without doc_id still differ by their texts; repeated rows get equal counts; null,
 empty and very long texts are mixed like others; copy numbers of a row begin at 1 and are unique, part p having
 those from (p - 1) * TERMS on; an empty table gives an empty result; extra columns are kept, whatever their
-names, but a clashing copy or mix_key column of the input is replaced.
+names, but those named as the copy's number and hash are replaced; the caller may choose other names.
 """
 
 from __future__ import annotations
@@ -59,10 +59,10 @@ def _uniform(seed: int, identity: Column, part: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def replicate(docs: DataFrame, rates: DataFrame, seed: int = 1) -> DataFrame:
-    """docs with columns copy (1, 2, ...) and mix_key, the hash of seed, row and copy: each row as often as its inverted count."""
-    docs = docs.drop("copy", "mix_key")
-    columns = docs.columns
+def replicate(docs: DataFrame, rates: DataFrame, seed: int = 1, copy: str = "copy", key: str = "mix_key") -> DataFrame:
+    """docs with columns copy (1, 2, ...) and key, the hash of seed, row and copy: each row as often as its inverted count."""
+    columns = [c for c in docs.columns if c not in (copy, key)]
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
     of, parts, part, cdf, who, n = (unused(docs, x) for x in ("_source", "_parts", "_part", "_cdf", "_who", "_n"))
     terms = [1.0 / math.factorial(k) for k in range(TERMS)]
     tables = rates.select(F.col("source").alias(of), F.greatest(F.ceil(F.col("rate") / RATE), F.lit(1)).cast("long").alias(parts), "rate").where("rate > 0")
@@ -82,14 +82,13 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 1) -> DataFrame:
         whole = whole.unionByName(runs.withColumn(part, F.explode(F.sequence(F.col(part), last))))
     counted = whole.withColumn(n, let(_uniform(seed, F.col(who), F.col(part)), lambda u: F.size(F.filter(cdf, lambda c: c <= u)))).where(F.col(n) > 0)
     first = (F.col(part) - 1) * TERMS
-    copies = counted.withColumn("copy", F.explode(F.sequence(first + 1, first + F.col(n))))
-    return copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col(who), F.col("copy"))).select(*columns, "copy", "mix_key")
+    copies = counted.withColumn(copy, F.explode(F.sequence(first + 1, first + F.col(n))))
+    return copies.withColumn(key, F.xxhash64(F.lit(seed), F.col(who), F.col(copy))).select(*[F.col(f"`{c}`") for c in columns], copy, key)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 1) -> DataFrame:
-    """docs replicated to the target weights and shuffled globally; adds copy and mix_key, its place's hash."""
-    copies = replicate(docs, source_rates(docs, weights, epochs), seed)
-    return copies.repartition("mix_key").sortWithinPartitions("mix_key")
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 1, copy: str = "copy", key: str = "mix_key") -> DataFrame:
+    """docs replicated to the target weights and shuffled globally; adds the copy's number and its hash, which gives its place."""
+    return replicate(docs, source_rates(docs, weights, epochs), seed, copy, key).repartition(key).sortWithinPartitions(key)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,12 +49,12 @@ def longest_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> Co
 
 def rules_by_host(hosts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """(_host, _rules): the rules, longest first, that fit each of hosts(host) by its name or a domain above it."""
-    rows = [(kind, rule, *rule.partition("/")[::2]) for kind, rule in rules]
+    rows = [(kind, rule, domain, slash + rest) for kind, rule in rules for domain, slash, rest in [rule.partition("/")]]
     table = hosts.sparkSession.createDataFrame(rows, "kind string, rule string, domain string, path string")
     labels = F.split("host", "\\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     met = hosts.where("host <> ''").distinct().select("host", F.explode(above).alias("domain")).join(table, "domain")
-    fitting = F.struct((-F.length("rule")).alias("order"), "rule", "kind", F.concat(F.lit("/"), "path").alias("path"))
+    fitting = F.struct((-F.length("rule")).alias("order"), "rule", "kind", "path")
     return met.groupBy(F.col("host").alias("_host")).agg(F.array_sort(F.collect_list(fitting)).alias("_rules"))
 
 

@@ -366,6 +366,9 @@ def test_page_rank_on_a_random_graph(spark):
 def test_many_rules_are_joined(spark):
     rows = [(1, "http://a.example.org/es/x"), (2, "http://EXAMPLE.org/en/12"), (3, "http://org/x"), (4, "http://b.com/fr/"), (5, "http://xorg/"), (6, None), (7, "http://a.org")]
     pages = spark.createDataFrame([(i, u, None) for i, u in rows], "page_id long, url string, html string")
+    bare = [("block", "org"), ("allow", "example.org"), ("block", "com/fr"), ("allow", "net"), ("block", "b.com")]
+    one, joined = (sorted(tuple(r) for r in urlfilter.judged_by_rule(pages, bare, n).collect()) for n in (200, 2))
+    assert one == joined and [r[3] for r in one] == ["example.org", "example.org", "org", "com/fr", None, None, "org"]
     few, many = (sorted(tuple(r) for r in urlfilter.judged_by_rule(pages, urlfilter.RULES, n).collect()) for n in (200, 2))
     assert few == many and [r[3] for r in few] == ["example.org/es/", "example.org/en/1", "org/", "com/fr/", None, None, None]
     assert urlfilter.filter_urls(pages.limit(0), urlfilter.RULES).count() == 0
@@ -395,3 +398,15 @@ def test_stages_handle_odd_rows(spark):
         assert stage(spark, table.limit(0), SF).count() == 0, name
     short = corpus_pipeline.line_dedup(spark, table, SF).where("doc_id = 9").first()
     assert short.n_chars == len(short.text)
+
+
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+
+    own = {"n_removed": 77, "mix_key": 78, "copy": 79, "_leak": 80, "_source": 81, "ids": 82}
+    table = docs(spark, [(i, f"{PLAIN} {i}") for i in range(4)]).selectExpr("*", *[f"{v} as {k}" for k, v in own.items()])
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, table, SF)
+        rows = left.select(*own).distinct().collect()
+        assert [r.asDict() for r in rows] == [own], name
+        assert left.columns == [*table.columns, *(["_copy"] if name == "mixing" else [])], name
