@@ -19,8 +19,6 @@ a root; columns that aren't named are no part of a leaf, whatever their names.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +50,8 @@ def group_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows(part, ..) with place, 0, 1, .. within part by order, and size, the part's rows; settled.
+def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """rows(part, ..) with place, 0, 1, .. within part by order, and size, the part's rows; also the largest size.
 
     Rows are dealt by ranges of (part, order), so a part that holds most rows is spread over all tasks.
     """
@@ -64,50 +62,42 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     counts = runs.groupBy("part", "run").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("part")  # a row for each partition at most
     ahead = F.coalesce(F.sum("n").over(whole.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("part", "run", ahead.alias("ahead"), F.sum("n").over(whole).alias("size"))
+    offsets = settle(counts.select("part", "run", ahead.alias("ahead"), F.sum("n").over(whole).alias("size")))
     placed = runs.join(offsets, ["part", "run"]).withColumn("place", F.col("ahead") + F.col("at") - 1)
-    return settle(placed.drop("run", "at", "ahead"))
+    return placed.drop("run", "at", "ahead"), offsets.agg(F.max("size")).first()[0] or 0
 
 
-def levels_of(nodes: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
+def levels_of(nodes: DataFrame, most: int, fanout: int = FANOUT) -> list[DataFrame]:
     """Tables (part, place, size, digest, kids) from nodes(part, place, size, digest) up to one node for each part.
 
-    kids are the digests a node was hashed from, in order; size is the number of nodes of its part on its level.
+    kids are the digests a node was hashed from, in order; size is the number of nodes of its part on its level, most the
+    largest of the lowest. A part with one node keeps it on the levels above.
     """
     found = [nodes.select("part", "place", "size", "digest", F.array().cast("array<string>").alias("kids"))]
-    most = nodes.agg(F.max("size")).first()[0] or 0
     while most > 1:
         children = F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda c: c["digest"])
-        up = found[-1].where("size > 1").groupBy("part", F.floor(F.col("place") / fanout).alias("place"))
-        up = up.agg(F.ceil(F.first("size") / fanout).alias("size"), children.alias("kids"))
-        found.append(settle(up.select("part", "place", "size", F.sha2(F.array_join("kids", ""), 256).alias("digest"), "kids")))
+        up = found[-1].groupBy("part", F.floor(F.col("place") / fanout).alias("place")).agg(F.first("size").alias("below"), children.alias("kids"))
+        hashed = F.when(F.col("below") > 1, F.sha2(F.array_join("kids", ""), 256)).otherwise(F.get("kids", F.lit(0)))
+        found.append(settle(up.select("part", "place", F.ceil(F.col("below") / fanout).alias("size"), hashed.alias("digest"), "kids")))
         most = -(-most // fanout)
     return found
 
 
-def roots_of(levels: list[DataFrame]) -> DataFrame:
-    """(part, level, place, kids, digest) of the last node of each part."""
-    tops = [level.where("size = 1").select("part", F.lit(k).alias("level"), "place", "kids", "digest") for k, level in enumerate(levels)]
-    return settle(reduce(DataFrame.union, tops))
-
-
-def proofs_of(levels: list[DataFrame], starts: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """(part, place, steps, ..) of each node of the lowest level: its siblings, those of its parent and so on, then the steps of starts.
+def proofs_of(levels: list[DataFrame], tops: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """(part, place, steps, ..) of each node of the lowest level: its siblings, those of its parent and so on, then the steps of tops.
 
-    starts is roots_of(levels) with steps, the proof of each part's last node, and other columns to hand down.
+    tops(part, steps, ..) are the proofs of the parts' last nodes, with other columns to hand down.
     """
-    down = [c for c in starts.columns if c not in ("level", "digest")]
-    known = None
-    for k, level in reversed(list(enumerate(levels))):
-        nodes = starts.where(F.col("level") == k).select(*down)
-        if known is not None:
-            mine = level.where("size > 1").withColumns({"up": F.floor(F.col("place") / fanout), "nth": (F.col("place") % fanout).cast("int")})
-            parents = known.withColumnsRenamed({"place": "up", "kids": "run", "steps": "upper"})
-            before = F.array_join(F.slice("run", 1, F.col("nth")), "")
-            after = F.array_join(F.slice("run", F.col("nth") + 2, F.lit(fanout)), "")
-            steps = F.concat(F.array(F.struct(before.alias("before"), after.alias("after"))), "upper")
-            nodes = mine.join(parents, ["part", "up"]).withColumn("steps", steps).select(*down).unionByName(nodes)
-        known = nodes
+    known = levels[-1].select("part", "place", "kids").join(tops, "part")
+    for k, level in reversed(list(enumerate(levels[:-1]))):
+        mine = level.select("part", "place", "size", "kids").withColumns({"up": F.floor(F.col("place") / fanout), "nth": (F.col("place") % fanout).cast("int")})
+        parents = known.withColumnsRenamed({"place": "up", "kids": "run", "steps": "upper"})
+        before = F.array_join(F.slice("run", 1, F.col("nth")), "")
+        after = F.array_join(F.slice("run", F.col("nth") + 2, F.lit(fanout)), "")
+        own = F.when(F.col("size") > 1, F.array(F.struct(before.alias("before"), after.alias("after")))).otherwise(F.array().cast(STEPS))
+        known = mine.join(parents, ["part", "up"]).withColumn("steps", F.concat(own, "upper")).select(*known.columns)
+        if k > 1:  # short plans; the two longest tables go straight on
+            known = settle(known)
     return known.drop("kids")
 
 
@@ -123,18 +113,17 @@ def folded(leaf_digest: Column, steps: Column) -> Column:
 
 def manifest(rows: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """rows(source, doc_id, leaf, ..) with subroot, root and steps, the proof from leaf to root."""
-    leaves = numbered(rows.withColumn("part", group_key(F.col("source"))), "doc_id", "leaf")
-    levels = levels_of(leaves.withColumnRenamed("leaf", "digest"), fanout)
-    subroots = roots_of(levels)
-    tops = numbered(subroots.select(F.lit("").alias("part"), F.col("part").alias("name"), "digest"), "name")
-    upper = levels_of(tops, fanout)
-    last = roots_of(upper).withColumn("steps", F.array().cast(STEPS))
-    root = last.select("digest").first()  # one row, none for an empty table
+    leaves, most = numbered(rows.withColumn("part", group_key(F.col("source"))), "doc_id", "leaf")
+    levels = levels_of(leaves.withColumnRenamed("leaf", "digest"), most, fanout)
+    subroots = levels[-1].select(F.lit("").alias("part"), F.col("part").alias("name"), "digest")
+    tops, many = numbered(subroots, "name")
+    upper = levels_of(tops, many, fanout)
+    root = upper[-1].select("digest").first()  # one row, none for an empty table
+    last = upper[-1].select("part", F.array().cast(STEPS).alias("steps"))
     above = proofs_of(upper, last, fanout).join(tops.select("place", "name", "digest"), "place")
-    above = above.select(F.col("name").alias("part"), "steps", F.col("digest").alias("subroot"))
-    proofs = proofs_of(levels, settle(subroots.join(above, "part")), fanout)
-    out = leaves.join(proofs, ["part", "place"]).withColumn("root", F.lit(root[0] if root else None).cast("string"))
-    return out.drop("part", "place", "size")
+    above = settle(above.select(F.col("name").alias("part"), "steps", F.col("digest").alias("subroot")))
+    out = leaves.join(proofs_of(levels, above, fanout), ["part", "place"])
+    return out.withColumn("root", F.lit(root[0] if root else None).cast("string")).drop("part", "place", "size")
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
