@@ -4,7 +4,8 @@ A document gets a mask of the filters that it fails. Four look at its own text;
 doc_id has too, anywhere in the table. For it texts are routed by the xxhash of their bytes. An input partition first
 keeps chains of its own, by hash: each text with the minimum id seen and how many rows have it. A row that isn't
 the minimum is decided there and goes on without its text, so of a group of copies each partition sends one text.
-Routed rows are sorted by hash within their partition, so one collision chain with its full texts is held at a time.
+The texts' bytes, summed before, give the number of partitions that they are routed to. Routed rows are sorted by hash
+within their partition, so one collision chain with its full texts is held at a time.
 Non-minimum ids are emitted. combineByKey then merges vectors of counts, one cell for each mask and label, for each
 part; a partition sends one vector of a part. All orders of the filters follow from such a vector.
 
