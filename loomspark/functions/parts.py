@@ -1,7 +1,10 @@
-"""Message parts of one shape: (type, text, tool, title, call_id, status, input, output, error).
+"""Message parts of one shape: (type, text, tool, title, call_id, status, input, output, error, metadata).
 
-A JSON null counts as missing. Texts and reasoning need a text, tools a name (their own or the one in their
-title), plans a text and images an address or typed data; all others are null.
+A part is read as VARIANT, where a missing key differs from a JSON null. Of the names of an input or output the first
+that is there counts, also if it is null; a null shows as null but is an output all the same. Texts, titles and ids are
+JSON strings, anything else is none. Keys of a tool's state without a meaning of their own are metadata. Texts and
+reasoning need a text, tools a name (their own or the one in their title), plans a text and images an address or typed
+data; all others are null.
 """
 
 from __future__ import annotations
@@ -9,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspark.operators.transcript import cleaned, is_internal_event, tool_status
+from loomspark.functions.text import once
+from loomspark.operators.transcript import cleaned, tool_status
 
-STATE = "status STRING, input STRING, arguments STRING, output STRING, result STRING, error STRING"
-RAW = f"type STRING, text STRING, tool STRING, title STRING, callID STRING, input STRING, output STRING, approval_status STRING, url STRING, data STRING, mime_type STRING, state STRUCT<{STATE}>"
-FIELDS = ("type", "text", "tool", "title", "call_id", "status", "input", "output", "error")
+FIELDS = ("type", "text", "tool", "title", "call_id", "status", "input", "output", "error", "metadata")
+#: Names of a tool's state that have a meaning of their own, and what an object of a plan may call its text.
+STATE_KEYS = ("status", "input", "arguments", "output", "result", "error", "metadata", "meta")
+PLAN_KEYS = ("text", "plan", "content")
 
 
 def part(**fields: Column) -> Column:
@@ -21,29 +26,95 @@ def part(**fields: Column) -> Column:
     return F.struct(*[fields.get(c, F.lit(None)).cast("string").alias(c) for c in FIELDS])
 
 
+def member(value: Column, *keys: str) -> Column:
+    """The first of an object's members that is there, a JSON null included; null if there is none."""
+    return F.coalesce(*[F.try_variant_get(value, f"$.{k}", "variant") for k in keys])
+
+
+def given(value: Column) -> Column:
+    """A variant, but null for a JSON null."""
+    return F.when(~F.is_variant_null(value), value)
+
+
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def text_in(value: Column) -> Column:
+    """The text of a JSON string; null for anything else."""
+    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+
+
+def shown(value: Column) -> Column:
+    """A JSON string as its text, other values as JSON, null for a JSON null."""
+    return F.coalesce(text_in(value), F.to_json(given(value)))
+
+
+def filled(text: Column) -> Column:
+    return F.when(text != "", text)
+
+
 def plan_text(value: Column) -> Column:
-    """A text, or what an object, at most two levels deep, names as its text, plan or content."""
-    inner = lambda v: F.coalesce(*[F.get_json_object(v, f"$.{k}") for k in ("text", "plan", "content")])
-    once = F.when(value.startswith("{"), inner(value)).otherwise(value)
-    return F.when(once.startswith("{"), inner(once)).otherwise(once)
+    """A text, or what an object of any depth names as its text, plan or content."""
+    inner = lambda v: F.coalesce(*[given(member(v, k)) for k in PLAN_KEYS])
+    step = lambda v, _: F.when(is_object(v), inner(v)).otherwise(v)
+    depth = F.length(F.regexp_replace(F.to_json(value), r"[^{]", ""))  # no value is nested deeper than it has braces
+    unwrapped = once(depth, lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), value, step)).otherwise(value))
+    return once(unwrapped, text_in)
+
+
+def metadata_of(state: Column) -> Column:
+    """JSON of a state's metadata with its other keys folded in; these replace metadata that is no object."""
+    members = lambda v: F.coalesce(F.when(is_object(v), v.try_cast("map<string,variant>")), F.expr("cast(map() as map<string,variant>)"))
+
+    def folded(x: Column) -> Column:
+        kept = F.map_filter(members(x["own"]), lambda k, _: ~F.array_contains(F.map_keys(x["extra"]), k))
+        return F.when(F.size(x["extra"]) > 0, F.to_json(F.map_concat(kept, x["extra"]))).otherwise(shown(x["own"]))
+
+    own = F.coalesce(given(member(state, "metadata")), given(member(state, "meta")))
+    extra = F.map_filter(members(state), lambda k, _: ~k.isin(*STATE_KEYS))
+    return once(F.struct(own.alias("own"), extra.alias("extra")), folded)
+
+
+def _tool(raw: Column, state: Column) -> Column:
+    """The part of a tool with a name of its own or in its title."""
+    put = F.coalesce(member(state, "input", "arguments"), member(raw, "input"))
+    got = F.coalesce(member(state, "output", "result"), member(raw, "output"))
+    title = filled(text_in(member(raw, "title")))
+    read = F.struct(put.alias("put"), got.alias("got"), member(state, "error").alias("error"), title.alias("title"), text_in(member(state, "status")).alias("status"))
+
+    def made(x: Column) -> Column:
+        tool = F.coalesce(filled(F.trim(text_in(member(raw, "tool")))), filled(F.trim(F.regexp_replace(x["title"], r"(?i)^tool:\s*", ""))))
+        status = tool_status(x["status"], given(x["error"]).isNotNull(), x["got"].isNotNull())
+        return once(tool, lambda name: F.when(name.isNotNull(), part(type=F.lit("tool"), tool=name, title=cleaned(x["title"]), call_id=filled(text_in(member(raw, "callID"))), status=status, input=shown(x["put"]), output=shown(x["got"]), error=shown(x["error"]), metadata=metadata_of(state))))
+
+    return once(read, made)
+
+
+def _plan(raw: Column) -> Column:
+    def made(failed: Column) -> Column:
+        value = F.coalesce(given(member(raw, "text")), F.when(failed, member(raw, "output")).otherwise(member(raw, "input")))
+        text = cleaned(once(value, plan_text))
+        return once(text, lambda t: F.when(t.isNotNull(), part(type=F.lit("plan"), text=t, status=F.when(failed, "fail").otherwise("success"))))
+
+    return once(F.coalesce(text_in(member(raw, "approval_status")) == "fail", F.lit(False)), made)
+
+
+def _image(raw: Column) -> Column:
+    url = filled(text_in(member(raw, "url")))
+    typed_data = filled(text_in(member(raw, "data"))).isNotNull() & filled(text_in(member(raw, "mime_type"))).isNotNull()
+    return F.when(url.isNotNull() | typed_data, part(type=F.lit("image"), text=url))
 
 
 def part_of(data: Column) -> Column:
     """The part that a JSON text describes, with internal text cleaned away; null if it shows nothing."""
-    raw = F.from_json(data, RAW)
-    kind, state = raw["type"], raw["state"]
-    failed = F.coalesce(raw["approval_status"] == "fail", F.lit(False))
-    output = F.coalesce(state["output"], state["result"], raw["output"])
-    text = cleaned(F.when(kind == "plan", plan_text(F.coalesce(raw["text"], F.when(failed, raw["output"]).otherwise(raw["input"])))).otherwise(raw["text"]))
-    named = F.trim(F.regexp_replace(raw["title"], r"(?i)^tool:\s*", ""))
-    tool = F.coalesce(F.when(F.trim(raw["tool"]) != "", F.trim(raw["tool"])), F.when(named != "", named))
-    status = F.when(kind == "plan", F.when(failed, "fail").otherwise("success")).otherwise(tool_status(state["status"], state["error"].isNotNull(), output.isNotNull()))
-    shown = (
-        F.when(kind.isin("text", "reasoning"), part(type=kind, text=text))
-        .when(kind == "plan", part(type=kind, text=text, status=status))
-        .when(kind == "image", part(type=kind, text=raw["url"]))
-        .when(kind == "tool", part(type=kind, tool=tool, title=cleaned(raw["title"]), call_id=raw["callID"], status=status, input=F.coalesce(state["input"], state["arguments"], raw["input"]), output=output, error=state["error"]))
-    )
-    typed_data = (raw["data"] != "") & (raw["mime_type"] != "")
-    visible = F.when(kind == "tool", tool.isNotNull()).when(kind == "image", F.coalesce(raw["url"] != "", F.lit(False)) | F.coalesce(typed_data, F.lit(False))).otherwise(text.isNotNull())
-    return F.when(visible & ~is_internal_event(F.coalesce(kind, F.lit(""))), shown)
+
+    def made(raw: Column) -> Column:
+        spoken = lambda kind: once(cleaned(text_in(member(raw, "text"))), lambda t: F.when(t.isNotNull(), part(type=kind, text=t)))
+        state = F.when(is_object(member(raw, "state")), member(raw, "state"))
+        by_kind = lambda kind: (
+            F.when(kind.isin("text", "reasoning"), spoken(kind)).when(kind == "tool", once(state, lambda s: _tool(raw, s))).when(kind == "plan", _plan(raw)).when(kind == "image", _image(raw))
+        )
+        return once(text_in(member(raw, "type")), by_kind)
+
+    return once(F.try_parse_json(data), made)

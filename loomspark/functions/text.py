@@ -10,6 +10,11 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāēīōū"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaeiou"
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with the value worked out once and its expressions kept out of generated code, whose size is limited."""
+    return F.transform(F.array(value), body)[0]
+
+
 def folded(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 

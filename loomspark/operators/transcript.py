@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomspark.functions.text import once
 from loomspark.operators.reduce import reduce_sessions
 
 #: Tags whose block is internal text, tags of which only the marks go, and internal kinds of events.
@@ -14,17 +15,29 @@ BARE_TAGS = ("command-args",)
 INTERNAL_EVENTS = ("progress", "file history snapshot", "queue operation", "last prompt")
 
 
+def _passes(tag: str) -> list[tuple[str, str]]:
+    """What goes for an internal tag: blocks with lines of their own, other blocks, and all behind one that isn't closed."""
+    opening = rf"<{tag}\b[^>]*>"
+    block = rf"{opening}.*?</{tag}>"
+    return [(rf"(?is)(^|\r?\n)[ \t]*{block}[ \t]*(?:\r?\n|\z)", "$1"), (rf"(?is){block}", ""), (rf"(?is)\n*{opening}.*\z", "")]
+
+
 def cleaned(text: Column) -> Column:
-    """Text without internal blocks (to the end where unclosed), loose marks and spaces at line ends; null if nothing is left."""
-    for tag in INTERNAL_TAGS:
-        block = rf"<{tag}\b[^>]*>.*?</{tag}>"
-        text = F.regexp_replace(text, rf"(?is)(^|\r?\n)[ \t]*{block}[ \t]*(?:\r?\n|\z)", "$1")
-        text = F.regexp_replace(text, rf"(?is){block}", "")
-        text = F.regexp_replace(text, rf"(?is)\n*<{tag}\b[^>]*>.*\z", "")
+    """Text without internal blocks (to the end where unclosed), loose marks and spaces at line ends; null if nothing is left.
+
+    A tag's blocks go before the next tag's are looked for: of lines of blocks, each leaves the same line ends so.
+    """
     marks = "|".join((*INTERNAL_TAGS, *BARE_TAGS))
-    text = F.regexp_replace(text, rf"(?i)</?(?:{marks})\b[^>]*>", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+(?=\r?\n|\z)", ""), r"(?:\r?\n)+\z", "")
-    return F.when(F.trim(F.regexp_replace(text, r"\s+", " ")) != "", text)
+    passes = [*[x for tag in INTERNAL_TAGS for x in _passes(tag)], (rf"(?i)</?(?:{marks})\b[^>]*>", "")]
+    ends = [(r"[ \t]+(?=\r?\n|\z)", ""), (r"(?:\r?\n)+\z", "")]
+
+    def replaced(out: Column, pairs: list[tuple[str, str]]) -> Column:
+        for pattern, to in pairs:
+            out = F.regexp_replace(out, pattern, to)
+        return out
+
+    plain = once(text, lambda t: F.when(t.contains("<"), replaced(t, passes)).otherwise(t))
+    return once(once(plain, lambda t: replaced(t, ends)), lambda t: F.when(t.rlike(r"\S"), t))
 
 
 def is_internal_event(kind: Column) -> Column:
@@ -58,7 +71,7 @@ def contents(messages: DataFrame) -> DataFrame:
     return messages.groupBy("ref", "role", "tool").agg(F.count("*").alias("n"))
 
 
-def visible_branch(entries: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def visible_branch(entries: DataFrame) -> DataFrame:
     """(ref, id, depth) on the path from each session's last entry back to its root; cycles end where they close.
 
     entries(ref, line, id, parent_id). Sessions are reduced one at a time: their size bounds the memory.
@@ -68,7 +81,7 @@ def visible_branch(entries: DataFrame, max_depth: int = 10_000) -> DataFrame:
         named = [r for r in rows if r["id"] is not None]
         parent, path = {r["id"]: r["parent_id"] for r in named}, {}
         at = named[-1]["id"] if named else None
-        while at in parent and at not in path and len(path) < max_depth:
+        while at in parent and at not in path:
             path[at] = None
             at = parent[at]
         return [(rows[0]["ref"], x, n) for n, x in enumerate(reversed(path))]
