@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomspark.operators.closure import checkpointed
+
 
 def replace_messages(existing: DataFrame, incoming: DataFrame, counts: DataFrame) -> DataFrame:
     """existing(ref, message_index, ..) after an upsert by index; of sessions in counts(ref, n) messages from n on go."""
@@ -76,17 +78,20 @@ def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*names), order).alias("x")).select(key, *[f"x.{c}" for c in names])
 
 
-def depth_first(sessions: DataFrame, closure: DataFrame, max_depth: int = 1_000) -> DataFrame:
-    """(ref, entry, path): sorting by path walks each tree depth first, siblings by activity and ref; one join a level."""
-    own = lambda: F.struct(F.coalesce("activity", F.lit(0)).alias("activity"), F.col("ref").alias("ref"))
-    rows = closure.join(sessions.select("ref", "parent_ref", "activity"), "ref")
-    level = rows.where("depth = 0").select("ref", "entry", F.array(own()).alias("path"))
-    walked, deepest = level, rows.agg(F.max("depth")).first()[0] or 0
-    for depth in range(1, min(deepest, max_depth) + 1):
-        above = level.select(F.col("ref").alias("parent_ref"), F.col("path").alias("above"))
-        level = rows.where(F.col("depth") == depth).join(above, "parent_ref").select("ref", "entry", F.concat("above", F.array(own())).alias("path"))
-        walked = walked.unionByName(level)
-    return walked
+def depth_first(sessions: DataFrame, closure: DataFrame) -> DataFrame:
+    """(ref, entry, path): sorting by path walks each tree depth first, siblings by activity and ref.
+
+    Paths double: each round puts the path of a session's furthest known ancestor before its own, so a tree of any depth
+    takes a join for each power of two.
+    """
+    own = F.struct(F.coalesce("activity", F.lit(0)).alias("activity"), F.col("ref").alias("ref"))
+    up = F.when(F.col("depth") > 0, F.col("parent_ref"))
+    rows = checkpointed(closure.join(sessions.select("ref", "parent_ref", "activity"), "ref").select("ref", "entry", up.alias("up"), F.array(own).alias("path")))
+    while not rows.where("up is not null").isEmpty():
+        far = rows.select(F.col("ref").alias("up"), F.col("up").alias("further"), F.col("path").alias("above"))
+        grown = rows.where("up is not null").join(far, "up").select("ref", "entry", F.col("further").alias("up"), F.concat("above", "path").alias("path"))
+        rows = checkpointed(rows.where("up is null").unionByName(grown))
+    return rows.select("ref", "entry", "path")
 
 
 def timeline_totals(entries: DataFrame, closure: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -15,8 +15,6 @@ USAGE = "STRUCT<input: LONG, output: LONG, cacheRead: LONG, cacheWrite: LONG, to
 MESSAGE = f"STRUCT<role: STRING, content: STRING, model: STRING, usage: {USAGE}, toolCallId: STRING, isError: BOOLEAN, display: BOOLEAN, summary: STRING, command: STRING, output: STRING, exitCode: LONG, cancelled: BOOLEAN>"
 ENTRY = f"type STRING, id STRING, parentId STRING, timestamp STRING, cwd STRING, name STRING, summary STRING, content STRING, display BOOLEAN, message {MESSAGE}"
 ITEMS = "ARRAY<STRUCT<type: STRING, text: STRING, thinking: STRING, id: STRING, name: STRING, arguments: STRING>>"
-#: Deeper than any file has lines.
-DEEPEST = 1 << 31
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +28,7 @@ def branches(entries: DataFrame) -> DataFrame:
     rows = entries.where("coalesce(type, '') <> 'session' and id <> ''")
     fields = ["type", "parentId", "timestamp", "name", "summary", "content", "display", "message"]
     last = rows.groupBy("ref", "id").agg(F.max_by(F.struct(*fields), "line").alias("e"), F.max("line").alias("line"))
-    path = visible_branch(last.select("ref", "line", "id", F.col("e.parentId").alias("parent_id")), DEEPEST)
+    path = visible_branch(last.select("ref", "line", "id", F.col("e.parentId").alias("parent_id")))
     return path.join(last, ["ref", "id"]).select("ref", "id", "depth", "e.*")
 
 
