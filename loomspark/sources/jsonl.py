@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loomspark.functions.text import first_line_title, parsed_millis
 
@@ -16,16 +17,19 @@ COUNTS = "STRUCT<input_tokens: LONG, output_tokens: LONG, reasoning_output_token
 CODEX = f"timestamp STRING, type STRING, payload STRUCT<type STRING, role STRING, id STRING, cwd STRING, model STRING, content STRING, name STRING, arguments STRING, info STRUCT<last_token_usage: {COUNTS}, total_token_usage: {COUNTS}>>"
 
 
-def read_lines(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl", after: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl", after: str | None = None, raw: bool = False) -> DataFrame:
     """(file, changed, line, r, bad): parsed records of all files below path in file order; bad marks lines that don't parse.
 
-    after prunes files by modification time.
+    after prunes files by modification time; raw gives each record as VARIANT in a column raw, in place of r.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if after:
         reader = reader.option("modifiedAfter", after)
     rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line"), F.trim("value").alias("value"))
-    rows = rows.where("value <> ''").withColumn("bad", F.try_parse_json("value").isNull())
+    rows = rows.where("value <> ''")
+    if raw:
+        return rows.withColumn("raw", F.try_parse_json("value")).select("file", "changed", "line", "raw", F.col("raw").isNull().alias("bad"))
+    rows = rows.withColumn("bad", F.try_parse_json("value").isNull())
     return rows.select("file", "changed", "line", F.from_json("value", schema).alias("r"), "bad")
 
 
@@ -69,7 +73,8 @@ def codex_usage(spark: SparkSession, path: str) -> DataFrame:
     rows = read_lines(spark, path, CODEX, "rollout-*.jsonl").where("not bad and r.payload.type = 'token_count'")
     last, total = "r.payload.info.last_token_usage.", "r.payload.info.total_token_usage."
     fields = {"input": "input_tokens", "output": "output_tokens", "reasoning": "reasoning_output_tokens", "cached": "cached_input_tokens"}
-    return rows.select(F.regexp_extract("file", r"rollout-[0-9T-]{19}-(.+)\.jsonl$", 1).alias("ref"), F.col("line.n").alias("line"), F.col(total + "total_tokens").alias("total"), *[F.col(p + f).alias(f"{n}_{k}") for n, p in (("total", total), ("last", last)) for k, f in fields.items()])
+    number = F.row_number().over(W.partitionBy("file").orderBy("line")).cast("long")
+    return rows.select(F.regexp_extract("file", r"rollout-[0-9T-]{19}-(.+)\.jsonl$", 1).alias("ref"), number.alias("line"), F.col(total + "total_tokens").alias("total"), *[F.col(p + f).alias(f"{n}_{k}") for n, p in (("total", total), ("last", last)) for k, f in fields.items()])
 
 
 def session_heads(messages: DataFrame, agent: str) -> DataFrame:
