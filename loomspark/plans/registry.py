@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.plans import adapters, analytics, lifecycle, lookup, transcripts, upkeep
+from loomspark.plans import adapters, analytics, edits, lifecycle, lookup, transcripts, upkeep
 
-QUERIES: dict = analytics.QUERIES | lookup.QUERIES | lifecycle.QUERIES | upkeep.QUERIES | adapters.QUERIES | transcripts.QUERIES
-ORACLES: dict = analytics.ORACLES | lookup.ORACLES | lifecycle.ORACLES | upkeep.ORACLES | adapters.ORACLES | transcripts.ORACLES
+QUERIES: dict = analytics.QUERIES | lookup.QUERIES | lifecycle.QUERIES | upkeep.QUERIES | adapters.QUERIES | transcripts.QUERIES | edits.QUERIES
+ORACLES: dict = analytics.ORACLES | lookup.ORACLES | lifecycle.ORACLES | upkeep.ORACLES | adapters.ORACLES | transcripts.ORACLES | edits.ORACLES
