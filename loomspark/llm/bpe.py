@@ -4,8 +4,8 @@ A text is split into pre-tokens by a pattern. The distinct pre-tokens of a block
 tiers. First a minimal perfect hash over the vocabulary, one probe of flat arrays for all of them at once, finds those
 that are tokens as a whole; a stored token is compared, so that no other text passes. The misses are merged byte by
 byte: the parts are a linked list, and a heap holds the adjacent pairs that are tokens by (rank, place), so that the
-lowest rank merges first, the leftmost of equals, in O(n log n) for a pre-token of any length. Ids are packed as
-little-endian unsigned 32-bit integers. Decoding gathers the tokens' bytes by id.
+lowest rank merges first, the leftmost of equals, in O(n log n) for a pre-token of any length. A task remembers the
+last short ones, MEMO at most. Ids are packed as little-endian unsigned 32-bit integers. Decoding gathers the tokens' bytes by id.
 
 The vocabulary is read on the driver, must have ranks 0 to n - 1 and is broadcast with its hash; MAX_TOKENS bounds it.
 
@@ -19,10 +19,11 @@ result is replaced.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from functools import cached_property
+from heapq import heapify, heappop, heappush
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,10 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import read
 
 #: Most tokens of a vocabulary, which is broadcast; pre-tokens encoded at once.
-MAX_TOKENS, BLOCK = 1_000_000, 400_000
+MAX_TOKENS, BLOCK = 1_000_000, 250_000
+#: Merged pre-tokens that a task remembers at most.
+MEMO = 300_000
+_PLACE = (1 << 40) - 1
 _MIX, _STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _WORD = (1 << 64) - 1
 
@@ -98,20 +102,22 @@ class Vocabulary:
                 seeds[bucket], slots[at] = -1 - at, ranks[0]
         return cls(tokens, seeds, slots)
 
-    def rank(self, token: bytes) -> int | None:
-        """Rank of one token."""
-        import xxhash
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """Rank of each token by the ranks of any two tokens that it consists of."""
+        rank = {t: i for i, t in enumerate(self.tokens)}
+        return {(x, y): r for t, r in rank.items() for k in range(1, len(t)) if (x := rank.get(t[:k])) is not None and (y := rank.get(t[k:])) is not None}
+
+    @cached_property
+    def singles(self) -> list[int]:
+        """Rank of each byte."""
+        found = self.ranks([bytes([b]) for b in range(256)]).tolist()
+        if min(found) < 0:
+            raise ValueError("every byte must be a token")
+        return found
 
-        n = len(self.tokens)
-        h = xxhash.xxh64_intdigest(token)
-        seed = self._seeds[h % n]
-        if seed < 0:
-            at = -1 - seed
-        else:
-            x = ((h ^ (seed * _STEP & _WORD)) * _MIX) & _WORD
-            at = (x ^ (x >> 29)) % n
-        found = self._slots[at]
-        return found if self.tokens[found] == token else None
+    def bytes_of(self, word: bytes) -> list[int]:
+        return [self.singles[b] for b in word]
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """Ranks of many tokens, -1 where a word is none."""
@@ -127,68 +133,98 @@ class Vocabulary:
         return np.where(same.to_numpy(zero_copy_only=False), found, -1)
 
     def __post_init__(self) -> None:
-        self._seeds, self._slots = self.seeds.tolist(), self.slots.tolist()
         self.table = pa.array(self.tokens, pa.large_binary())
 
     def __reduce__(self):
         return Vocabulary, (self.tokens, self.seeds, self.slots)
 
 
-def merged(word: bytes, vocabulary: Vocabulary) -> list[int]:
+def merged(word: bytes, vocabulary: Vocabulary) -> tuple[int, ...]:
     """Ids of a pre-token: adjacent parts merge while they are a token, the lowest rank first."""
-    n, rank = len(word), vocabulary.rank
-    ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    ids: list[int | None] = [rank(word[i : i + 1]) for i in range(n)]
-    heap = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and (r := rank(word[i : ends[j]])) is not None:
-            heapq.heappush(heap, (r, i, ends[j]))
-
-    for i in range(n):
-        offer(i)
+    ids, pair_rank = vocabulary.bytes_of(word), vocabulary.pairs.get
+    n = len(ids)
+    best = [*map(pair_rank, zip(ids, ids[1:])), None]  # rank of each part with the one after it
+    heap = [rank << 40 | i for i, rank in enumerate(best) if rank is not None]
+    heapify(heap)
+    after, before = list(range(1, n + 1)), list(range(-1, n))
     while heap:
-        r, i, end = heapq.heappop(heap)
-        j = after[i]
-        if ids[i] is None or j >= n or ends[j] != end:  # one of the two was merged meanwhile
+        top = heappop(heap)
+        rank, i = top >> 40, top & _PLACE
+        if best[i] != rank:  # one of the two was merged meanwhile
             continue
-        ids[i], ids[j], ends[i], after[i] = r, None, end, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        if before[i] >= 0:
-            offer(before[i])
-        offer(i)
-    return [x for x in ids if x is not None]
-
-
-def encoded(words: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, ends): ids of all pre-tokens, and where each one's end."""
-    coded = pa.array(words, pa.large_string()).dictionary_encode()
-    distinct = [w.encode() for w in coded.dictionary.to_pylist()]
-    whole = vocabulary.ranks(distinct)
-    misses = {int(k): merged(distinct[k], vocabulary) for k in np.flatnonzero(whole < 0)}
-    sizes = np.ones(len(distinct), np.int64)
-    for k, ids in misses.items():
-        sizes[k] = len(ids)
-    starts = np.cumsum(sizes) - sizes
-    table = np.empty(int(sizes.sum()), np.uint32)
-    table[starts[whole >= 0]] = whole[whole >= 0]
-    for k, ids in misses.items():
-        table[starts[k] : starts[k] + sizes[k]] = ids
-    codes = coded.indices.to_numpy()
-    ends = np.cumsum(sizes[codes])
-    places = np.repeat(starts[codes] - (ends - sizes[codes]), sizes[codes]) + np.arange(ends[-1] if len(ends) else 0)
-    return table[places], ends
+        j = after[i]
+        ids[i], ids[j], best[j] = rank, -1, None
+        after[i] = k = after[j]
+        best[i] = None
+        if k < n:
+            before[k] = i
+            best[i] = up = pair_rank((rank, ids[k]))
+            if up is not None:
+                heappush(heap, up << 40 | i)
+        h = before[i]
+        if h >= 0:
+            best[h] = up = pair_rank((ids[h], rank))
+            if up is not None:
+                heappush(heap, up << 40 | h)
+    return tuple([x for x in ids if x >= 0])
+
+
+class Encoder:
+    """A vocabulary with the ids of short misses merged last: those since the memory was last full, and those of the time before."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.known, self.older = vocabulary, {}, {}
+
+    def merged(self, word: bytes) -> tuple[int, ...]:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.older.get(word) or merged(word, self.vocabulary)
+            if len(word) <= 64:
+                if len(self.known) >= MEMO // 2:
+                    self.known, self.older = {}, self.known
+                self.known[word] = ids
+        return ids
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): ids of all pre-tokens, and where each one's end."""
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        whole = self.vocabulary.ranks(distinct)
+        missing = np.flatnonzero(whole < 0)
+        lists = [self.merged(distinct[k]) for k in missing.tolist()]
+        sizes = np.ones(len(distinct), np.int64)
+        sizes[missing] = np.fromiter(map(len, lists), np.int64, len(lists))
+        starts = np.cumsum(sizes) - sizes
+        table = np.empty(int(sizes.sum()), np.uint32)
+        table[starts[whole >= 0]] = whole[whole >= 0]
+        table[_ranges(starts[missing], sizes[missing])] = np.fromiter(chain.from_iterable(lists), np.uint32)
+        codes = coded.indices.to_numpy()
+        return table[_ranges(starts[codes], sizes[codes])], np.cumsum(sizes[codes])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. for each start, so many of each, one behind the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _pieces(text: str, pattern) -> Iterator[list[str]]:
+    """The pre-tokens of a text, BLOCK at a time at most."""
+    if len(text) <= BLOCK:
+        yield pattern.findall(text)
+        return
+    found = (m[0] for m in pattern.finditer(text))
+    while piece := list(islice(found, BLOCK)):
+        yield piece
 
 
 def _blocks(texts: pa.Array, pattern) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
-    """Blocks of about BLOCK pre-tokens, each with (row, number) of the rows that they come from, in order."""
+    """Blocks of up to twice BLOCK pre-tokens, each with (row, number) of the rows that they come from, in order."""
     words: list[str] = []
     rows: list[tuple[int, int]] = []
-    for row, text in enumerate(texts):
-        found = (m[0] for m in pattern.finditer(text.as_py() or ""))
-        while piece := list(islice(found, BLOCK - len(words))):
+    for row, value in enumerate(texts):
+        text = value.as_py()
+        for piece in _pieces(text, pattern) if text else ():
             words += piece
             rows.append((row, len(piece)))
             if len(words) >= BLOCK:
@@ -214,11 +250,11 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, vocabulary = regex.compile(pattern), shared.value
+        split, encoder = regex.compile(pattern), Encoder(shared.value)
         for batch in batches:
             packed: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
             for words, rows in _blocks(batch.column(text), split):
-                ids, ends = encoded(words, vocabulary)
+                ids, ends = encoder.encoded(words)
                 at = start = 0
                 for row, n in rows:
                     at += n
