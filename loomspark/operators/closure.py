@@ -71,21 +71,60 @@ def window_filter(sessions: DataFrame, closure: DataFrame, start: int | None, en
     return sessions.join(kept, "ref")
 
 
-def subtree_costs(sessions: DataFrame) -> DataFrame:
-    """(ref, subtree_cost) of every session; a member of a cycle sums the whole cycle and what hangs below.
+def cycle_heads(links: DataFrame) -> DataFrame:
+    """(ref, head) of the members of cycles of links(ref, up); head is the smallest member, which names the cycle.
 
-    Reachability grows by a frontier joined with children; pairs seen before are dropped, so cycles end.
+    After as many steps up as a tail is long, only members are still arrived at. Steps double, so their number is found in
+    rounds of the logarithm: the set shrinks until it holds the members alone. The smallest of a member's next 1, 2, 4, ..
+    members is found alike.
     """
-    pairs = checkpointed(sessions.select(F.col("ref").alias("top"), "ref"))
-    children = sessions.where("parent_ref is not null").select(F.col("parent_ref").alias("p"), F.col("ref").alias("child"))
-    frontier = pairs
+    jumps = checkpointed(links.where("up is not null").select("ref", "up"))
+    reached = None
     while True:
-        grown = frontier.join(children, frontier["ref"] == children["p"]).select("top", F.col("child").alias("ref")).distinct()
-        frontier = checkpointed(grown.join(pairs, ["top", "ref"], "left_anti"))
-        if frontier.isEmpty():
+        far = jumps.select(F.col("ref").alias("up"), F.col("up").alias("further"))
+        jumps = checkpointed(jumps.join(far, "up").select("ref", F.col("further").alias("up")))
+        now = jumps.select("up").distinct().count()
+        if now == reached:
             break
-        pairs = pairs.union(frontier)
-    return pairs.join(sessions.select("ref", "total_cost"), "ref").groupBy("top").agg(F.sum("total_cost").alias("subtree_cost")).withColumnRenamed("top", "ref")
+        reached = now
+    members = jumps.select(F.col("up").alias("ref")).distinct()
+    lows = checkpointed(links.join(members, "ref", "left_semi").select("ref", "up", F.least("ref", "up").alias("head")))
+    for _ in range(reached.bit_length()):
+        far = lows.select(F.col("ref").alias("up"), F.col("up").alias("further"), F.col("head").alias("other"))
+        lows = checkpointed(lows.join(far, "up").select("ref", F.col("further").alias("up"), F.least("head", "other").alias("head")))
+    return lows.select("ref", "head")
+
+
+def tree_sums(nodes: DataFrame) -> DataFrame:
+    """(ref, total) from nodes(ref, up, value) without cycles: the sum of a node and all below it.
+
+    A node's sum of the descendants nearer than 2, 4, 8, .. steps: in each round those exactly so far away, which are its
+    ancestors' pointers by then, add their own sums. There are never more rows than nodes.
+    """
+    rows = checkpointed(nodes.select("ref", "up", F.col("value").alias("total")))
+    while not rows.where("up is not null").isEmpty():
+        given = rows.where("up is not null").groupBy("up").agg(F.sum("total").alias("more")).withColumnRenamed("up", "ref")
+        far = rows.select(F.col("ref").alias("up"), F.col("up").alias("further"))
+        grown = rows.join(given, "ref", "left").select("ref", "up", (F.coalesce("total", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("total"))
+        rows = checkpointed(grown.join(far, "up", "left").select("ref", F.col("further").alias("up"), "total"))
+    return rows.select("ref", "total")
+
+
+def subtree_costs(sessions: DataFrame) -> DataFrame:
+    """(ref, subtree_cost) of every session; a member of a cycle sums the whole cycle and what hangs below.
+
+    Each cycle becomes one node, so that what is left are trees.
+    """
+    known = sessions.select(F.col("ref").alias("up"))
+    links = sessions.select("ref", F.col("parent_ref").alias("p"), "total_cost").join(known, F.col("p") == known["up"], "left")
+    links = checkpointed(links.select("ref", "up", "total_cost"))
+    heads = cycle_heads(links)
+    named = links.join(heads, "ref", "left").withColumn("node", F.coalesce("head", "ref"))
+    above = heads.withColumnsRenamed({"ref": "up", "head": "up_head"})
+    nodes = named.join(above, "up", "left").select("ref", "node", F.when(F.col("head").isNull(), F.coalesce("up_head", "up")).alias("above"), "total_cost")
+    nodes = checkpointed(nodes)
+    sums = tree_sums(nodes.groupBy(F.col("node").alias("ref")).agg(F.max("above").alias("up"), F.sum("total_cost").alias("value")))
+    return nodes.select("ref", "node").join(sums.withColumnRenamed("ref", "node"), "node").select("ref", F.col("total").alias("subtree_cost"))
 
 
 def day_groups(entries: DataFrame, closure: DataFrame) -> DataFrame:

@@ -37,6 +37,24 @@ def test_deep_chain_mounts(spark):
     assert tuple(got) == (149, 1)
 
 
+def test_subtree_costs_of_deep_chains_and_cycles(spark):
+    import random
+
+    rng = random.Random(8)
+    chain = [(f"c{i:05}", f"c{i - 1:05}" if i else None, i, 1.0) for i in range(10_000)]
+    rows = [(f"n{i:03}", f"n{rng.randrange(200):03}" if rng.random() < 0.9 else None, i, float(i)) for i in range(200)] + [("loop", "loop", 1, 5.0), ("below", "loop", 1, 6.0)]
+    up, cost = {r: p for r, p, _, _ in rows}, {r: c for r, _, _, c in rows}
+    want = dict.fromkeys(up, 0.0)
+    for ref in up:
+        at, seen = ref, set()
+        while at in up and at not in seen:  # every session counts once for each session on its way up
+            seen.add(at)
+            want[at] += cost[ref]
+            at = up[at]
+    got = {r.ref: r.subtree_cost for r in closure.subtree_costs(heads(spark, rows + chain)).collect()}
+    assert all(got[f"c{i:05}"] == 10_000 - i for i in range(10_000)) and {r: got[r] for r in up} == want
+
+
 def test_window_keeps_descendants(spark):
     rows = heads(spark, [("in", None, 50, 1.0), ("old kid", "in", 1, 1.0), ("out", None, 1, 1.0), ("new kid", "out", 50, 1.0)])
     got = closure.window_filter(rows, closure.mount(rows), 10, 100)
