@@ -1,4 +1,4 @@
-"""Registered queries: programs of tool calls, line diffs, and substring search by trigrams."""
+"""Registered queries: programs of tool calls, line diffs, substring search by trigrams, snippets and pages by cursors."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import exec_calls as calls
 from loomspark.functions.linediff import line_diff
-from loomspark.operators import facts, trigrams
+from loomspark.operators import cursors, facts, snippets, trigrams
 from loomspark.plans import lens
 from loomspark.plans.analytics import FILES, Model
 from loomspark.plans.lens import BASE, FACTS_SQL, with_sql
-from loomspark.plans.lookup import TALKS, talks
+from loomspark.plans.lookup import TALKS, TOKENS, docs, index_of, talks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -87,3 +87,26 @@ def message_trigram_search(spark, sf_dir):
     messages = talks(spark, sf_dir)[0]
     index, counts = _index(spark, sf_dir, "messages", messages, "text")
     return trigrams.matching(messages, trigrams.containing(index, counts, "Tion wh", messages, "text"), "text").select("ref", "message_index")
+
+
+@query(r"""SELECT doc, (start - 1)::INT AS start, kinds, n, CASE WHEN start > 1 THEN ' … ' ELSE '' END || array_to_string(p[2 * (start - 1) + lead + 1:2 * (least(start + 17, words) - 1) + lead + 1], '') || CASE WHEN words > start + 17 THEN ' … ' ELSE '' END AS snippet
+  FROM (SELECT doc, arg_max(i, k * 1000000000000 + c * 1000000 - i) AS start, max(k)::INT AS kinds, arg_max(c, k * 1000000000000 + c * 1000000 - i) AS n FROM (SELECT doc, i, len(list_filter(w, lambda x: x IN ('the', 'with', 'pour'))) AS c,
+      (list_contains(w, 'the')::INT + list_contains(w, 'with')::INT + list_contains(w, 'pour')::INT)::BIGINT AS k FROM (SELECT doc, i, b[i:i + 17] AS w FROM (SELECT doc, b, unnest(range(1, len(b) + 1)) AS i FROM tok) WHERE b[i] IN ('the', 'with', 'pour'))) GROUP BY doc)
+  JOIN (SELECT doc_id AS doc, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS p, CASE WHEN regexp_matches(text, '^[\p{L}\p{N}]') THEN 0 ELSE 1 END AS lead FROM documents) USING (doc) JOIN (SELECT doc, len(b) AS words FROM tok) USING (doc)""", TOKENS, alone=True)
+def search_snippet_windows(spark, sf_dir):
+    """The best window of 18 words of every document with one of the terms."""
+    index, _ = index_of(spark, sf_dir)
+    return snippets.snippets(docs(spark, sf_dir), index, ["the", "with", "pour"])
+
+
+@query("SELECT ref, activity, ((row_number() OVER (ORDER BY activity DESC, ref) - 1) // 60)::INT AS page FROM sessions ORDER BY activity DESC, ref LIMIT 240", *BASE)
+def cursor_pages(spark, sf_dir):
+    """The first four pages of the sessions, each continued from the last by its cursor."""
+    rows, cursor, found = lens.sessions(spark, sf_dir).select("ref", "activity"), None, []
+    for n in range(4):
+        page = cursors.page(rows, [("activity", True), ("ref", False)], 60, {"view": "sessions", "cursor": cursor or ""}, sf_dir, "by activity", cursor)
+        found += [(*r, n) for r in page.rows]
+        cursor = page.next_cursor
+        if cursor is None:
+            break
+    return spark.createDataFrame(found, "ref string, activity long, page int")

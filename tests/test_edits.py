@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from loomspark.functions import exec_calls, linediff
-from loomspark.operators import trigrams
+from loomspark.operators import cursors, search, snippets, trigrams
 
 
 def calls(source):
@@ -94,3 +94,50 @@ def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
     groups = [(s.min, s.max) for f in ds.dataset(tmp_path / "index").get_fragments() for g in f.row_groups for s in [type("S", (), g.statistics["gram"])]]
     assert sum(low <= "/12" <= high for low, high in groups) < len(groups) or len(groups) == 1
     assert trigrams.matching(table, trigrams.containing(index, counts, "aba", table, "path"), "path").count() == sum(p is not None and "aba" in p.lower() for p in paths)
+
+
+def test_snippets_are_the_best_windows(spark):
+    rng = random.Random(5)
+    texts = [(i, rng.choice(["", "-- "]) + " ".join(rng.choice(["a", "é", "bb", "x1", "y", "z", "w", "q", "r, s;"]) for _ in range(rng.randint(0, 60))) + rng.choice(["", "."])) for i in range(200)] + [(900, None), (901, "...")]
+    table = spark.createDataFrame(texts, "doc long, text string").withColumn("title", F.lit("a bb"))
+    index, _ = search.postings(table)
+    got = {r.doc: (r.start, r.kinds, r.n, r.snippet) for r in snippets.snippets(table, index, ["a", "e", "bb"], 6).collect()}
+    import re
+
+    want = {}
+    for doc, text in texts:
+        words = [m for m in re.finditer(r"[^\W_]+", text or "")]
+        held = [m[0].replace("é", "e") for m in words]
+        scores = [(len({x for x in held[i : i + 6] if x in ("a", "e", "bb")}), sum(x in ("a", "e", "bb") for x in held[i : i + 6]), -i) for i in range(len(held))]
+        if scores and max(scores)[0]:
+            kinds, n, at = max(s for s in scores if held[-s[2]] in ("a", "e", "bb"))
+            assert (kinds, n) == max(scores)[:2]  # of all windows, one that begins with a term is among the best
+            end = min(len(words), 6 - at)
+            want[doc] = (-at, kinds, n, (" … " if at else "") + text[words[-at].start() : words[end - 1].end()] + (" … " if len(words) > end else ""))
+    assert got.keys() == want.keys()
+    for doc, (start, kinds, n, snippet) in got.items():
+        assert (kinds, n) == want[doc][1:3] and (start, snippet) == (want[doc][0], want[doc][3]), texts[doc]
+
+
+def test_pages_by_cursor(spark):
+    rng = random.Random(6)
+    data = [(i, rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"])) for i in range(57)]
+    rows = spark.createDataFrame(data, "id long, at long, name string")
+    order = [("at", True), ("name", False), ("id", False)]
+    params = {"q": "x", "tag": ["b", "a"], "limit": "10"}
+    found, cursor = [], None
+    while True:
+        page = cursors.page(rows, order, 10, params, "s1", "v1", cursor)
+        assert page.kind == "page"
+        found += [tuple(r) for r in page.rows]
+        if page.next_cursor is None:
+            break
+        cursor = page.next_cursor
+    key = lambda r: (r[1] is None, -(r[1] or 0), r[2] is None, r[2] or "", r[0])
+    assert found == sorted(data, key=key) and len(page.rows) == 7
+    kind = lambda c, p=params, s="s1", v="v1": cursors.page(rows, order, 10, p, s, v, c).kind
+    assert kind(cursor, {"limit": "5", "tag": ["a", "b"], "cursor": "z", "q": "x"}) == "page"
+    assert kind(cursor, {"q": "y"}) == kind("!!") == kind("e30") == kind(cursor[:-3]) == kind("é") == kind("A" * 5000) == "invalid_cursor"
+    assert kind(cursor, s="s2") == kind(cursor, v="v2") == "stale_snapshot"
+    plan = cursors.seek(rows, order, 10, [2, None, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "offset" not in plan.lower().replace("offset=0", "") and "TakeOrderedAndProject" in plan
