@@ -1,10 +1,8 @@
-"""Snapshots and changes: diff, merge, event coalescing, append cursors, publication."""
+"""Snapshots and changes: diff, merge, event coalescing, append cursors."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,41 +48,3 @@ def appended(messages: DataFrame, cursor: DataFrame) -> DataFrame:
     known = messages.join(cursor.select("ref", "seen"), "ref").where(F.col("message_index") < F.col("seen")).groupBy("ref").agg(F.sha2(F.array_join(lines, ","), 256).alias("now"))
     state = cursor.withColumnRenamed("digest", "was").join(known, "ref", "left").select("ref", F.when(F.col("was").eqNullSafe(F.col("now")) | (F.col("seen") == 0), F.col("seen")).otherwise(0).alias("start"))
     return messages.drop("digest").join(state, "ref").where("message_index >= start").drop("start")
-
-
-def first_wins(existing: DataFrame, incoming: DataFrame, key: str = "ref") -> DataFrame:
-    """Import that keeps existing rows."""
-    return existing.unionByName(incoming.join(existing.select(key), key, "left_anti"))
-
-
-class Store:
-    """Versioned snapshot directories in shared storage with a pointer table that is swapped last.
-
-    Readers see a whole version or the one before; the pointer names the highest committed version.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _pointer(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema("version long, directory string").json(f"{self.root}/pointer") if found else None
-
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Write all tables as one new version, then commit it."""
-        pointer = self._pointer()
-        version = 1 + ((pointer.agg(F.max("version")).first()[0] or 0) if pointer is not None else 0)
-        directory = f"{self.root}/v{version}-{uuid.uuid4().hex}"
-        for name, rows in tables.items():
-            rows.write.parquet(f"{directory}/{name}")
-        commit = self.spark.createDataFrame([(version, directory)], "version long, directory string")
-        commit.coalesce(1).write.mode("append").json(f"{self.root}/pointer")
-        return version
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        pointer = self._pointer()
-        if pointer is None:
-            raise LookupError("nothing is published")
-        rows = pointer if version is None else pointer.where(F.col("version") == version)
-        return self.spark.read.parquet(f"{rows.orderBy(F.desc('version')).first()['directory']}/{name}")

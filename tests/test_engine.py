@@ -137,28 +137,31 @@ def test_branch_ends_at_cycles(spark):
     assert [r.id for r in got] == ["a", "b", "c", "r", "tip"]
 
 
-def test_store_publishes_whole_versions(spark, tmp_path):
-    store = incremental.Store(spark, str(tmp_path / "store"))
-    with pytest.raises(LookupError):
-        store.read("t")
-    assert store.publish({"t": spark.range(3)}) == 1 and store.publish({"t": spark.range(5)}) == 2
-    assert store.read("t").count() == 5 and store.read("t", 1).count() == 3
-
-
-def test_stream_folds_late_and_removed_rows(spark, tmp_path):
+def test_stream_folds_late_and_removed_rows_over_restarts(spark, tmp_path):
     from loomspark.streaming import feed
 
     source = tmp_path / "in"
     source.mkdir()
 
-    def arrive(name, rows):
-        (source / name).write_text("\n".join(json.dumps(dict(zip(("key", "op", "at", "seq", "value"), r))) for r in rows))
-        feed.start(spark, str(source), str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination(120)
+    def arrive(name=None, rows=()):
+        """A run of the stream, which stops and starts again from its checkpoint, and all changes after it."""
+        if name:
+            (source / name).write_text("\n".join(json.dumps(dict(zip(("key", "op", "at", "seq", "value"), r))) for r in rows))
+        feed.start(spark, str(source), str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination(120)
+        log = feed.read_changes(spark, str(tmp_path / "log"))
+        return log, sorted((r.key, r.value) for r in feed.current(log).collect()), sorted(r.key for r in feed.settled(log).collect())
 
     arrive("1.json", [(1, "upsert", 10, 1, 1.0), (1, "upsert", 20, 2, 2.0), (2, "upsert", 5, 3, 3.0)])
-    arrive("2.json", [(1, "upsert", 15, 4, 9.0), (2, "remove", 6, 5, None), (3, "upsert", 1, 6, 4.0)])
-    state = incremental.Store(spark, str(tmp_path / "store")).read("state")
-    assert sorted((r.key, r.value) for r in state.collect()) == [(1, 2.0), (3, 4.0)]
+    _, now, quiet = arrive("2.json", [(1, "upsert", 15, 4, 9.0), (2, "remove", 6, 5, None), (3, "upsert", 1, 6, 4.0), (None, "upsert", 1, 6, 4.0)])
+    assert now == [(1, 2.0), (3, 4.0)] and quiet == []
+    log, now, _ = arrive("3.json", [(2, "upsert", 5, 9, 7.0), (3, "upsert", 1, 6, 8.0)])  # older than the removal; a repeat
+    assert now == [(1, 2.0), (3, 4.0)]
+    before = log.count()
+    assert arrive()[0].count() == before  # nothing new, nothing again
+    log, now, quiet = arrive("4.json", [(4, "upsert", 10_000_000, 10, 1.0), (3, "upsert", 9_999_000, 11, 5.0)])
+    assert now == [(1, 2.0), (3, 5.0), (4, 1.0)] and quiet == [1]
+    log, _, quiet = arrive("5.json", [(5, "upsert", 20_000_000, 12, 1.0)])
+    assert quiet == [1, 3, 4] and log.where("op = 'settled'").groupBy("key").count().where("key in (1, 4) and count > 1").isEmpty()
 
 
 def test_jsonl_counts_usage_once(spark, tmp_path):
