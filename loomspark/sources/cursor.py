@@ -21,15 +21,18 @@ BUBBLE = f"type LONG, text STRING, requestId STRING, createdAt LONG, timestamp L
 TOOLS = {"read_file_v2": "read", "edit_file_v2": "edit", "run_terminal_command_v2": "bash", "ripgrep_raw_search": "grep", "glob_file_search": "glob"}
 
 
-def read_pairs(spark: SparkSession, path: str, ranges: int = 8) -> DataFrame:
-    """(rowid, key, value)."""
+COMPOSERS, BUBBLES = "composerData:", "bubbleId:"
+
+
+def read_pairs(spark: SparkSession, path: str, ranges: int = 8, beginning: str = "", push: bool = False) -> DataFrame:
+    """(rowid, key, value) of the keys that begin so, which SQLite reads as a range of keys; push lets filters reach SQLite, too."""
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").schema("rowid long, key string, value string").option("path", path).option("table", "cursorDiskKV").option("ranges", str(ranges)).load()
+    return spark.read.option("push", str(push)).option("column", "key").option("beginning", beginning).format("sqlite").schema("rowid long, key string, value string").option("path", path).option("table", "cursorDiskKV").option("ranges", str(ranges)).load()
 
 
 def composers(pairs: DataFrame) -> DataFrame:
     """Parsed composers with an id; malformed values are left out."""
-    rows = pairs.where(F.col("key").startswith("composerData:")).select("rowid", F.from_json("value", COMPOSER).alias("c")).select("rowid", "c.*")
+    rows = pairs.where(F.col("key").startswith(COMPOSERS)).select("rowid", F.from_json("value", COMPOSER).alias("c")).select("rowid", "c.*")
     text = lambda c: F.when(F.col(c) != "", F.col(c))
     return rows.select("rowid", F.coalesce(text("id"), text("composerId")).alias("session_id"), F.coalesce("modelConfig.modelName", "model").alias("model"), F.coalesce(text("name"), text("title")).alias("title"), "text", F.coalesce("createdAt", F.lit(0)).alias("time_created"),
         F.coalesce("updatedAt", "lastUpdatedAt", "lastSendTime", "createdAt").alias("time_updated"), F.coalesce("inputTokenCount", F.lit(0)).alias("input"), F.coalesce("outputTokenCount", F.lit(0)).alias("output"), (F.coalesce(F.size("subagentInfos"), F.lit(0)) > 0).alias("has_subagents")).where("session_id is not null")
@@ -40,8 +43,7 @@ def transcripts(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 
     A message without a model takes that of the last one before it that names one, at first its composer's.
     """
-    own = F.when(F.col("key").startswith("bubbleId:"), F.split("key", ":"))
-    rows = pairs.select("rowid", own.alias("k"), "value").where("k is not null").select("rowid", F.get("k", F.lit(1)).alias("session_id"), F.element_at("k", -1).alias("bubble"), F.from_json("value", BUBBLE).alias("b"))
+    rows = pairs.where(F.col("key").startswith(BUBBLES)).select("rowid", F.split("key", ":").alias("k"), "value").select("rowid", F.get("k", F.lit(1)).alias("session_id"), F.element_at("k", -1).alias("bubble"), F.from_json("value", BUBBLE).alias("b"))
     internal = [F.coalesce(is_internal_event(F.col(f"b.{c}")), F.lit(False)) for c in ("eventType", "kind", "subtype", "name")]
     rows = rows.where(~(internal[0] | internal[1] | internal[2] | internal[3])).join(heads.select("session_id", F.col("model").alias("first_model")), "session_id")
     before = W.partitionBy("session_id").orderBy("rowid").rowsBetween(W.unboundedPreceding, 0)
