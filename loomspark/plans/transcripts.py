@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loomspark.functions.parts import FIELDS, part_of
 from loomspark.operators import builder
 from loomspark.plans.analytics import Model
 from loomspark.plans.lens import BASE, FACTS_SQL, table, with_sql
-from loomspark.sources import grok
+from loomspark.sources import dsh, grok
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -160,3 +161,36 @@ def grok_messages(spark, sf_dir):
 @query("""SELECT user_id::VARCHAR AS ref, 'm' || event_id % 2 AS model, sum(floor(value))::BIGINT AS tokens FROM events WHERE event_type = 'signup' AND floor(value) > 0 GROUP BY 1, 2""")
 def grok_model_usage(spark, sf_dir):
     return grok.model_usage(grok.records(_updates(spark, sf_dir)))
+
+
+def _dsh_lines(spark, sf_dir) -> DataFrame:
+    """A DSH log for each user of the events table: two steps of four events a turn, deltas of two blocks, and messages that settle some steps."""
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = table(spark, sf_dir, "events").withColumn("n", place).selectExpr("*", "n div 8 AS turn", "n % 8 div 4 AS step")
+    chunk = """concat('"type":"assistant/chunk","data":{"turn":', turn, ',"step":', step, ',"chunk":{"type":"', if(event_type = 'error', 'reasoning-delta', 'text-delta'), '","index":', event_id % 2, ',"text":"', event_id, ' "}}')"""
+    settle = """concat('"type":"assistant/message","surfaceOp":"append","data":{"turn":', turn, ',"step":', step, ',"usage":{"inputTokens":', n, ',"cacheReadTokens":2,"outputTokens":5,"reasoningTokens":7},"message":{"id":"m', event_id, '","source":{"model":"m', event_id % 3, '"},"content":[{"type":"text","text":"done ', event_id, '"}]}}')"""
+    raw = f"try_parse_json(concat('{{\"seq\":', n, ',\"time\":', event_id, ',', if(event_type = 'purchase', {settle}, {chunk}), '}}'))"
+    events = rows.selectExpr("cast(user_id as string) AS file", "cast(n + 1 as bigint) AS line", f"{raw} AS raw", "cast(null as string) AS broken")
+    top = rows.select("user_id").distinct().selectExpr("cast(user_id as string) AS file", "cast(0 as bigint) AS line", """try_parse_json(concat('{"type":"session","version":0,"id":"s', user_id, '","createdAt":1,"delegationDepth":0}')) AS raw""", "cast(null as string) AS broken")
+    return events.unionByName(top)
+
+
+DSH = """WITH e AS (SELECT user_id, 's' || user_id AS ref, event_id, event_type, n, n // 8 AS turn, n % 8 // 4 AS step FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)),
+settling AS (SELECT ref, turn, step, min(n) AS settled FROM e WHERE event_type = 'purchase' GROUP BY ALL),
+heard AS (SELECT e.* FROM e LEFT JOIN settling s USING (ref, turn, step) WHERE event_type <> 'purchase' AND (settled IS NULL OR settled > n)),
+steps AS (SELECT e.ref, e.turn, e.step, coalesce((SELECT min(h.n) FROM heard h WHERE h.ref = e.ref AND (h.turn, h.step) > (e.turn, e.step)), 1000000) - 0.5 AS flushed FROM e LEFT JOIN settling s USING (ref, turn, step) WHERE settled IS NULL GROUP BY e.ref, e.turn, e.step),
+blocks AS (SELECT ref, turn, step, idx, arg_max(kind, run) AS kind, arg_max(text, run) AS text FROM (
+    SELECT ref, turn, step, idx, run, any_value(kind) AS kind, trim(string_agg(event_id || ' ', '' ORDER BY n), ' ') AS text FROM (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY ref, turn, step, idx ORDER BY n) AS run
+      FROM (SELECT *, kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY ref, turn, step, idx ORDER BY n) AS fresh FROM (SELECT *, event_id % 2 AS idx, CASE event_type WHEN 'error' THEN 'reasoning' ELSE 'text' END AS kind FROM e))) GROUP BY ALL) GROUP BY ALL),
+made AS (SELECT ref, 'dsh-step-' || turn || '-' || step AS id, flushed AS n, string_agg(kind || ':' || text, '|' ORDER BY idx) AS parts, NULL AS input, NULL AS reasoning, NULL AS model FROM steps JOIN blocks USING (ref, turn, step) GROUP BY ALL
+  UNION ALL SELECT ref, 'm' || event_id, n, 'text:done ' || event_id, n + 2, 5::BIGINT, 'm' || event_id % 3 FROM e WHERE event_type = 'purchase')
+"""
+
+
+@query(DSH + """SELECT ref, (row_number() OVER (PARTITION BY ref ORDER BY n) - 1)::INT AS message_index, id, parts, input, reasoning, coalesce(model, arg_max(model, n) FILTER (WHERE model IS NOT NULL) OVER (PARTITION BY ref ORDER BY n)) AS model FROM made""")
+def dsh_messages(spark, sf_dir):
+    lines = _dsh_lines(spark, sf_dir)
+    heads, rows = dsh.headers(lines), dsh.events(lines)
+    shown = builder.transcripts(dsh.transcript_events(rows, heads))
+    parts = F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["type"], F.rtrim(p["text"]))), "|")
+    return shown.select("ref", "message_index", "id", parts.alias("parts"), "input", "reasoning", "model")

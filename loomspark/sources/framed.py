@@ -7,23 +7,42 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+MAGIC = b"\x28\xb5\x2f\xfd"
+#: Bytes handed to a frame's decoder at once.
+PIECE = 1 << 16
 
-def decoded(data: bytes) -> bytes:
-    if not data.startswith(b"\x28\xb5\x2f\xfd"):
-        return data
+
+def frames(data: bytes) -> Iterator[bytes]:
+    """Contents of the whole frames; one cut short by the end is left out, anything else that is no frame is a ValueError."""
     import zstandard
 
-    out, rest = b"", data
-    while rest:
-        frame = zstandard.ZstdDecompressor().decompressobj()
+    view, at = memoryview(data), 0
+    while at < len(view):
+        start, frame, out = at, zstandard.ZstdDecompressor().decompressobj(), []
         try:
-            out += frame.decompress(rest)
-        except zstandard.ZstdError:
-            break
+            while at < len(view) and not frame.eof:
+                piece = view[at : at + PIECE]
+                out.append(frame.decompress(piece))
+                at += len(piece)
+        except zstandard.ZstdError as error:
+            raise ValueError(f"no valid frame at byte {start}") from error
         if not frame.eof:
-            break
-        rest = frame.unused_data
-    return out
+            return
+        at -= len(frame.unused_data)
+        yield b"".join(out)
+
+
+def decoded(data: bytes) -> bytes:
+    """All that can be decoded of a log."""
+    if not data.startswith(MAGIC):
+        return data
+    out = []
+    try:
+        for frame in frames(data):
+            out.append(frame)  # noqa: PERF402
+    except ValueError:
+        pass
+    return b"".join(out)
 
 
 def read_framed(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
