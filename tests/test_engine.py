@@ -332,3 +332,22 @@ def test_cursor_pairs(spark, tmp_path):
     ]
     heads = {r.session_id: tuple(r)[1:] for r in cursor.heads(found, shown).collect()}
     assert heads == {"a": ("Fix it", 5, 9, 4, 3, 4), "b": ("Kept", 0, None, 0, 0, 0)}
+
+
+def test_sources_keep_what_is_not_proved_gone(spark):
+    from loomspark.operators import sync
+
+    found = spark.createDataFrame([("same", "/same", "1"), ("new", "/new", "1"), ("moved", "/b", "1"), ("edited", "/e", "2"), ("stale", "/s", "1")], "ref string, path string, fingerprint string")
+    known = spark.createDataFrame([("same", "/same", "1", 5, False), ("moved", "/a", "1", 5, False), ("edited", "/e", "1", 5, False), ("stale", "/s", "1", 5, True), ("gone", "/gone", "1", 5, None), ("hidden", "/hidden", "1", 5, None), ("lost", None, None, 5, None), ("early", "/x", "1", 1, None), ("timeless", "/y", "1", None, None)], "ref string, path string, fingerprint string, changed_at long, stale boolean")
+    present = spark.createDataFrame([("/hidden",), ("/hidden",), ("/same",)], "path string")
+    state = lambda *window: {r.ref: r.state for r in sync.source_changes(found, known, present, *window).collect()}
+    want = {"same": "unchanged", "new": "changed", "moved": "changed", "edited": "changed", "stale": "changed", "gone": "missing", "hidden": "failed", "lost": "missing"}
+    assert state(3, 9) == want | {"early": "unseen", "timeless": "unseen"} and state() == want | {"early": "missing", "timeless": "missing"}
+    heads = known.selectExpr("ref", "'old' AS title")
+    read = spark.createDataFrame([("new", "parsed"), ("moved", "failed"), ("edited", "parsed"), ("same", "parsed")], "ref string, status string")
+    outcomes = sync.outcomes_of(sync.source_changes(found, known, present, 3, 9), read, heads)
+    assert {r.ref: (r.outcome, r.known) for r in outcomes.collect()} == {"same": ("kept", True), "new": ("parsed", False), "moved": ("failed", True), "edited": ("parsed", True), "stale": ("missing", True), "gone": ("missing", True), "hidden": ("failed", True), "lost": ("missing", True), "early": ("kept", True), "timeless": ("kept", True)}
+    parsed = spark.createDataFrame([("new", "new", "n"), ("edited", "edited/2", "e"), ("same", "same", "not asked for")], "source_ref string, ref string, title string")
+    after = {r.ref: r.title for r in sync.synchronised(heads, parsed, outcomes).collect()}
+    assert after == {"same": "old", "moved": "old", "hidden": "old", "early": "old", "timeless": "old", "new": "n", "edited/2": "e"}
+    assert sync.completeness(outcomes, False).first() == ("partial", 2) and sync.completeness(outcomes.where("outcome <> 'failed'"), False).first() == ("complete", 0)
