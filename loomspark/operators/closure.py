@@ -76,7 +76,8 @@ def cycle_heads(links: DataFrame) -> DataFrame:
 
     After as many steps up as a tail is long, only members are still arrived at. Steps double, so their number is found in
     rounds of the logarithm: the set shrinks until it holds the members alone. The smallest of a member's next 1, 2, 4, ..
-    members is found alike.
+    members is found alike, until a round changes none: two stretches that follow each other and have the same smallest
+    member overlap, so they are the whole cycle.
     """
     jumps = checkpointed(links.where("up is not null").select("ref", "up"))
     reached = None
@@ -89,9 +90,11 @@ def cycle_heads(links: DataFrame) -> DataFrame:
         reached = now
     members = jumps.select(F.col("up").alias("ref")).distinct()
     lows = checkpointed(links.join(members, "ref", "left_semi").select("ref", "up", F.least("ref", "up").alias("head")))
-    for _ in range(reached.bit_length()):
+    changed = not lows.isEmpty()
+    while changed:
         far = lows.select(F.col("ref").alias("up"), F.col("up").alias("further"), F.col("head").alias("other"))
-        lows = checkpointed(lows.join(far, "up").select("ref", F.col("further").alias("up"), F.least("head", "other").alias("head")))
+        lows = checkpointed(lows.join(far, "up").select("ref", F.col("further").alias("up"), F.least("head", "other").alias("head"), (F.col("other") < F.col("head")).alias("changed")))
+        changed = not lows.where("changed").isEmpty()
     return lows.select("ref", "head")
 
 

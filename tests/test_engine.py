@@ -43,6 +43,9 @@ def test_subtree_costs_of_deep_chains_and_cycles(spark):
     rng = random.Random(8)
     chain = [(f"c{i:05}", f"c{i - 1:05}" if i else None, i, 1.0) for i in range(10_000)]
     rows = [(f"n{i:03}", f"n{rng.randrange(200):03}" if rng.random() < 0.9 else None, i, float(i)) for i in range(200)] + [("loop", "loop", 1, 5.0), ("below", "loop", 1, 6.0)]
+    for size in (2, 3, 5, 8, 13):  # cycles whose members come in any order
+        names = rng.sample([f"r{size}-{i}" for i in range(size)], size)
+        rows += [(a, b, 1, 1.0) for a, b in zip(names, names[1:] + names[:1])]
     up, cost = {r: p for r, p, _, _ in rows}, {r: c for r, _, _, c in rows}
     want = dict.fromkeys(up, 0.0)
     for ref in up:
