@@ -1,7 +1,9 @@
-"""Substring search by an index of trigrams: postings sorted by trigram, the rarest ones intersected, then the texts verified.
+"""Substring search by an index of trigrams: blocks of texts by trigram, the rarest ones intersected, then the texts verified.
 
-Letter case is ignored. The index holds each text once. It is dealt by ranges of (trigram, text), so the postings of a
-frequent trigram are spread over several files and tasks, and a search reads only the row groups of its few trigrams.
+Letter case is ignored. Texts fall into blocks of about BLOCK by their hash, copies into the same one, and the index holds
+the numbers of a trigram's blocks, no texts: a small part of what it indexes. A search reads the pages of its few
+trigrams in each file, and verifies the texts of the blocks that hold all of them. Blocks stay where the texts were
+grouped, so the postings of a frequent trigram are spread over all files.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 SIZE = 3
 #: Trigrams of a needle that are intersected, the rarest first; the texts left are verified anyway.
 RAREST = 3
+#: Texts of a block, on average.
+BLOCK = 16
 
 
 def grams(text: Column) -> Column:
@@ -21,10 +25,17 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(SIZE))))
 
 
+def block_of(text: Column, of: int) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(of)).cast("int")
+
+
 def postings(texts: DataFrame, text: str) -> DataFrame:
-    """(gram, text) of the distinct texts, sorted by gram within ranges, to be written."""
-    rows = texts.select(F.col(text).alias("text")).where("text is not null").distinct()
-    return rows.select(F.explode(grams(F.col("text"))).alias("gram"), "text").repartitionByRange("gram", "text").sortWithinPartitions("gram", "text")
+    """(gram, block, of) of the texts in `of` blocks, sorted by gram within partitions, to be written."""
+    rows = texts.select(F.col(text).alias("text")).where("text is not null")
+    of = min(max(1, -(-rows.count() // BLOCK)), 2**31 - 1)
+    each = rows.groupBy(block_of(F.col("text"), of).alias("block")).agg(F.collect_set("text").alias("texts"))
+    held = each.select("block", F.array_distinct(F.flatten(F.filter(F.transform("texts", grams), lambda g: g.isNotNull()))).alias("grams"))
+    return held.select(F.explode("grams").alias("gram"), "block", F.lit(of).alias("of")).sortWithinPartitions("gram", "block")
 
 
 def frequencies(index: DataFrame) -> DataFrame:
@@ -32,19 +43,25 @@ def frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram")
 
 
-def containing(index: DataFrame, counts: DataFrame, needle: str, texts: DataFrame, text: str) -> DataFrame:
-    """(text) of the distinct texts that contain the needle; one shorter than a trigram is looked for in all texts."""
+def rows_containing(index: DataFrame, counts: DataFrame, needle: str, rows: DataFrame, text: str) -> DataFrame:
+    """The rows whose text, which is one of those indexed, contains the needle; for one shorter than a trigram all are looked at."""
     low = needle.lower()
-    named = F.col("text")
+    holds = F.lower(text).contains(low)
     if len(low) < SIZE:
-        return texts.select(F.col(text).alias("text")).where(F.lower("text").contains(low)).distinct()
+        return rows.where(holds)
     wanted = sorted({low[i : i + SIZE] for i in range(len(low) - SIZE + 1)})
     known = {r["gram"]: r["n"] for r in counts.where(F.col("gram").isin(wanted)).collect()}  # no more rows than the needle has trigrams
     if len(known) < len(wanted):
-        return index.select("text").where(F.lit(False))
+        return rows.where(F.lit(False))
     rarest = sorted(wanted, key=lambda g: (known[g], g))[:RAREST]
-    held = index.where(F.col("gram").isin(rarest)).where(F.lower(named).contains(low))
-    return held.where(F.col("gram") == rarest[0]).select("text") if len(rarest) == 1 else held.groupBy("text").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("text")
+    blocks = index.where(F.col("gram").isin(rarest)).groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select(F.col("block").alias("_block"))
+    of = index.select("of").first()["of"]
+    return rows.join(blocks, block_of(F.col(text), of) == blocks["_block"], "left_semi").where(holds)
+
+
+def containing(index: DataFrame, counts: DataFrame, needle: str, texts: DataFrame, text: str) -> DataFrame:
+    """(text) of the distinct texts that contain the needle."""
+    return rows_containing(index, counts, needle, texts, text).select(F.col(text).alias("text")).distinct()
 
 
 def matching(rows: DataFrame, found: DataFrame, text: str) -> DataFrame:

@@ -78,7 +78,7 @@ def path_trigram_search(spark, sf_dir):
     """File rows by a part of their path: a long one by the index, one of two characters by a scan, with a kind on the same row."""
     files = facts.file_activity(Model(spark, sf_dir).facts).select("ref", "kind", "path")
     index, counts = _index(spark, sf_dir, "paths", files, "path")
-    hits = lambda rows, needle: trigrams.matching(rows, trigrams.containing(index, counts, needle, rows, "path"), "path")
+    hits = lambda rows, needle: trigrams.rows_containing(index, counts, needle, rows, "path")
     return hits(files, "MALL_ri").withColumn("needle", F.lit("long")).unionByName(hits(files.where("kind = 'edit'"), "/s").withColumn("needle", F.lit("short")))
 
 
@@ -86,7 +86,7 @@ def path_trigram_search(spark, sf_dir):
 def message_trigram_search(spark, sf_dir):
     messages = talks(spark, sf_dir)[0]
     index, counts = _index(spark, sf_dir, "messages", messages, "text")
-    return trigrams.matching(messages, trigrams.containing(index, counts, "Tion wh", messages, "text"), "text").select("ref", "message_index")
+    return trigrams.rows_containing(index, counts, "Tion wh", messages, "text").select("ref", "message_index")
 
 
 @query(r"""SELECT doc, (start - 1)::INT AS start, kinds, n, CASE WHEN start > 1 THEN ' … ' ELSE '' END || array_to_string(p[2 * (start - 1) + lead + 1:2 * (least(start + 17, words) - 1) + lead + 1], '') || CASE WHEN words > start + 17 THEN ' … ' ELSE '' END AS snippet

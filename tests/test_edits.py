@@ -96,6 +96,20 @@ def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
     assert trigrams.matching(table, trigrams.containing(index, counts, "aba", table, "path"), "path").count() == sum(p is not None and "aba" in p.lower() for p in paths)
 
 
+def test_trigram_index_is_smaller_than_its_texts(spark, tmp_path):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(600)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:9])] + [(-1, None)], "id long, text string").repartition(1)
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / name).rglob("*.parquet"))
+    table.write.parquet(str(tmp_path / "texts"))
+    trigrams.postings(table, "text").write.parquet(str(tmp_path / "index"))
+    assert size("index") < 2 * size("texts")
+    index = spark.read.parquet(str(tmp_path / "index"))
+    needle = texts[3][50:58]
+    got = sorted(r.id for r in trigrams.rows_containing(index, trigrams.frequencies(index), needle.upper(), table, "text").collect())
+    assert got == [i for i, t in enumerate(texts + texts[:9]) if needle in t] and len(got) >= 2
+
+
 def test_snippets_are_the_best_windows(spark):
     rng = random.Random(5)
     texts = [(i, rng.choice(["", "-- "]) + " ".join(rng.choice(["a", "é", "bb", "x1", "y", "z", "w", "q", "r, s;"]) for _ in range(rng.randint(0, 60))) + rng.choice(["", "."])) for i in range(200)] + [(900, None), (901, "...")]
