@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import once
+
 SIZE = 3
 #: Trigrams of a needle that are intersected, the rarest first; the texts left are verified anyway.
 RAREST = 3
@@ -19,10 +21,13 @@ BLOCK = 16
 
 
 def grams(text: Column) -> Column:
-    """The distinct trigrams of a text in lower case."""
-    low = F.lower(text)
-    starts = F.when(F.length(low) >= SIZE, F.sequence(F.lit(1), F.length(low) - (SIZE - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(SIZE))))
+    """The distinct trigrams of a text in lower case; the characters are taken apart once."""
+
+    def made(chars: Column) -> Column:
+        starts = F.when(F.size(chars) >= SIZE, F.sequence(F.lit(0), F.size(chars) - SIZE))
+        return F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(SIZE)])))
+
+    return once(F.split(F.lower(text), ""), made)
 
 
 def block_of(text: Column, of: int) -> Column:
