@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.functions.tags import TAGS
+from loomspark.operators.closure import checkpointed
 
 K1, B, TITLE_WEIGHT, TEXT_WEIGHT = 1.2, 0.75, 8.0, 1.0
 #: Names of qualifiers, kinds of file use and of project identity.
@@ -102,12 +103,26 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, token, col, positions) and (doc, size) of docs(doc, title, text) or of their tokens: the index, to be written partitioned by token."""
+    """(doc, token, col, positions) and (doc, size) of docs(doc, title, text) or of their tokens: the index, to be written sorted by token.
+
+    A text's postings are made where it lies: its tokens are sorted with their positions and cut where the token changes.
+    """
     both = docs if "c" in docs.columns else tokenised(docs)
     sizes = both.select("doc", (F.size(F.get("c", F.lit(0))["w"]) + F.size(F.get("c", F.lit(1))["w"])).cast("long").alias("size"))
-    flat = both.select("doc", F.inline("c")).select("doc", "col", F.posexplode("w").alias("pos", "token"))
-    index = flat.groupBy("doc", "token", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # bounded by one text
-    return index, sizes
+    flat = both.select("doc", F.inline("c")).select("doc", "col", F.explode(_runs(F.col("w"))).alias("r"))
+    return flat.select("doc", "r.token", "col", "r.positions"), sizes
+
+
+def _runs(words: Column) -> Column:
+    """(token, positions) of the distinct tokens of an array."""
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["token"] != F.get(s, i - 1)["token"]))
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(s))
+        return T.once(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i)["token"].alias("token"), F.transform(F.slice(s, i + 1, end(at, k) - i), lambda x: x["pos"]).alias("positions"))))
+
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("pos"))))
+    return F.when(F.size(words) > 0, T.once(placed, cut))
 
 
 def _phrase_hits(words: list[str]) -> Column:
@@ -122,10 +137,12 @@ def bm25(index: DataFrame, sizes: DataFrame, groups: list[list[str]]) -> DataFra
     parsed = [[w for w in map(words, group) if w] for group in groups]
     phrases = [p for group in parsed for p in group]
     wanted = sorted({x for p in phrases for x in p})
-    rows = index.where(F.col("token").isin(wanted)).groupBy("doc", "col").agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("m"))
+    of = lambda w: F.flatten(F.collect_list(F.when(F.col("token") == w, F.col("positions"))))
+    rows = index.where(F.col("token").isin(wanted)).groupBy("doc", "col").agg(F.map_from_arrays(F.array(*map(F.lit, wanted)), F.array(*map(of, wanted))).alias("m"))
     weight = F.when(F.col("col") == 0, TITLE_WEIGHT).otherwise(TEXT_WEIGHT)
     hits = rows.select("doc", *[(_phrase_hits(p) * weight).alias(f"h{i}") for i, p in enumerate(phrases)])
     hits = hits.groupBy("doc").agg(*[F.sum(f"h{i}").alias(f"h{i}") for i in range(len(phrases))])
+    hits = checkpointed(hits)  # narrow; read for the counts and for the scores
     seen = hits.agg(*[F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]).first()
     stats = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
     idf = [max(1e-6, math.log((stats["n"] - seen[f"n{i}"] + 0.5) / (seen[f"n{i}"] + 0.5))) for i in range(len(phrases))]

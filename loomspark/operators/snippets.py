@@ -22,8 +22,11 @@ def pieces(text: Column) -> Column:
 
 
 def positions(index: DataFrame, terms: list[str], column: int = 1) -> DataFrame:
-    """(doc, pos, term) of the words of one column that are one of the terms, from the postings."""
-    held = index.where(F.col("token").isin(terms) & (F.col("col") == column))
+    """(doc, pos, term) of the words of one column that are one of the terms, from the postings.
+
+    A text's postings meet before their positions are taken apart, in the partitions that windows() needs.
+    """
+    held = index.where(F.col("token").isin(terms) & (F.col("col") == column)).repartition("doc")
     return held.select("doc", F.explode("positions").alias("pos"), F.col("token").alias("term"))
 
 

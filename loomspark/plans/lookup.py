@@ -30,9 +30,9 @@ def docs(spark, sf_dir):
 
 
 def index_of(spark, sf_dir):
-    """The postings, sorted by token so that a query reads few row groups, and the sizes; written once."""
+    """The postings, each file sorted by token so that a query reads few pages of it, and the sizes; written once."""
     both = search.postings(lens.kept(spark, sf_dir, "tokens", lambda: search.tokenised(docs(spark, sf_dir))))
-    index = lens.kept(spark, sf_dir, "postings", lambda: both[0].repartition("token").sortWithinPartitions("token"))
+    index = lens.kept(spark, sf_dir, "postings", lambda: both[0].sortWithinPartitions("token"))
     return index, lens.kept(spark, sf_dir, "sizes", lambda: both[1])
 
 

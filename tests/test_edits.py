@@ -110,6 +110,16 @@ def test_trigram_index_is_smaller_than_its_texts(spark, tmp_path):
     assert got == [i for i, t in enumerate(texts + texts[:9]) if needle in t] and len(got) >= 2
 
 
+def test_postings_are_made_without_a_shuffle(spark):
+    table = spark.createDataFrame([(1, "b a b", "b a b"), (2, "", None), (3, None, "É e x-é")], "doc long, title string, text string")
+    index, sizes = search.postings(table)
+    got = sorted((r.doc, r.token, r.col, r.positions) for r in index.collect())
+    assert got == [(1, "a", 0, [1]), (1, "a", 1, [1]), (1, "b", 0, [0, 2]), (1, "b", 1, [0, 2]), (3, "e", 1, [0, 1, 3]), (3, "x", 1, [2])]
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    again = index.unionByName(index.where("doc = 1"))  # a repeated row of one doc
+    assert [r.doc for r in search.bm25(again, sizes, [["a"]]).collect()] == [1]
+
+
 def test_snippets_are_the_best_windows(spark):
     rng = random.Random(5)
     texts = [(i, rng.choice(["", "-- "]) + " ".join(rng.choice(["a", "é", "bb", "x1", "y", "z", "w", "q", "r, s;"]) for _ in range(rng.randint(0, 60))) + rng.choice(["", "."])) for i in range(200)] + [(900, None), (901, "...")]
