@@ -215,3 +215,37 @@ def test_manifest_of_odd_rows_and_a_hot_group(spark, monkeypatch):
     got = manifest_rows(spark, table, monkeypatch)
     assert got == plain_manifest([(r.doc_id, r.source, r.lang, r.n_chars, r.text) for r in table.collect()])
     assert 0 < sum(not r[-1] for r in got) < len(got)
+
+
+def test_line_dedup_of_crowded_buckets_is_whole(spark):
+    """Similar lines that share one crowded bucket alone, with neither of its centres, are linked."""
+    from loomspark.llm import linededup
+
+    rng = random.Random(1)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, tails = letters(66), [letters(18) for _ in range(1500)]
+    lines = [x for t in tails for x in (head + t, head + t[:7] + letters(4) + t[11:])]
+    table = lambda rows: linededup.occurrences(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = table(list(enumerate(lines)))
+    keys = F.array(*[linededup.band_key(k) for k in range(len(linededup.BANDS))])
+    minima = F.array(*[linededup._minimum(j) for j in range(linededup.BINS)])
+    rows = linededup.signatures(found).join(found, "line").select("doc_id", keys.alias("keys"), minima.alias("minima")).collect()
+    of = {r.doc_id: (set(r["keys"]), r["minima"]) for r in rows}
+    held = {}
+    for i, (own, _) in of.items():
+        for key in own:
+            held.setdefault(key, set()).add(i)
+    pairs, kept = [], set()
+    for i in range(0, len(lines), 2):
+        shared = of[i][0] & of[i + 1][0]
+        agree = sum(x == y for x, y in zip(of[i][1], of[i + 1][1]))
+        x, y = ({lines[k][j : j + 5] for j in range(80)} for k in (i, i + 1))
+        others = {k for key in shared for k in held[key] if k % 2 == 0} - {i}
+        if len(shared) == 1 and agree >= linededup.AGREE and len(x & y) >= 0.8 * len(x | y) and len(others) > 20:
+            pairs.append((i, i + 1))
+            kept |= {i, i + 1} | set(sorted(others)[:30])
+    assert pairs
+    pairs = [(a, b) for a, b in pairs if a in kept and b in kept]
+    found = table([(i, lines[i]) for i in sorted(kept)])
+    groups = {r.doc_id: r.component for r in found.join(linededup.duplicate_groups(found), "line").collect()}
+    assert [p for p in pairs if groups.get(p[0], p[0]) != groups.get(p[1], p[1])] == []
