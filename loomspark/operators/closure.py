@@ -7,6 +7,9 @@ their own.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,26 +30,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back: cuts lineage, columnar and compressed."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mount(sessions: DataFrame) -> DataFrame:
-    """(ref, entry, depth, mount): each session's top entry, by pointer doubling in log2(depth) joins."""
+    """(ref, entry, depth, mount): each session's top entry, by pointer doubling in log2(depth) joins.
+
+    Only sessions whose top isn't found yet are joined in a round; the others are written once.
+    """
     heads = sessions.select("ref", "parent_ref")
     known = heads.select(F.col("ref").alias("known"))
-    links = heads.join(known, heads["parent_ref"] == known["known"], "left").select(
-        "ref", F.coalesce("known", "ref").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("known").isNull().alias("done"), "parent_ref"
-    )
-    links = checkpointed(links)
-    ended = links.where("done").count()
+    below = heads.where("parent_ref is not null").join(known, F.col("parent_ref") == F.col("known"), "left")
+    links = below.select("ref", F.coalesce("known", "ref").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("known").isNull().alias("done"))
+    links = written(links, "links")
+    tops = heads.where("parent_ref is null").select("ref", F.col("ref").alias("up"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("done"))
+    ended, going = [tops, links.where("done")], links.where("not done")
     while True:
-        far = links.select(F.col("ref").alias("f"), F.col("up").alias("f_up"), F.col("hops").alias("f_hops"), F.col("done").alias("f_done"))
-        links = checkpointed(links.join(far, links["up"] == far["f"]).select("ref", F.col("f_up").alias("up"), (F.col("hops") + F.col("f_hops")).alias("hops"), (F.col("done") | F.col("f_done")).alias("done"), "parent_ref"))
-        now = links.where("done").count()
-        if now == ended:  # depths are contiguous: no new end in a round means none deeper
+        far = reduce(DataFrame.union, [*ended, going]).select(F.col("ref").alias("f"), F.col("up").alias("f_up"), F.col("hops").alias("f_hops"), F.col("done").alias("f_done"))
+        links = written(going.join(far, going["up"] == far["f"]).select("ref", F.col("f_up").alias("up"), (F.col("hops") + F.col("f_hops")).alias("hops"), F.col("f_done").alias("done")), "links")
+        going = links.where("not done")
+        if links.where("done").isEmpty():  # depths are contiguous: no new end in a round means none deeper
             break
-        ended = now
-    entry = F.when(F.col("done"), F.col("up")).otherwise(F.col("ref"))
-    out = links.select("ref", entry.alias("entry"), F.when(F.col("done"), F.col("hops")).otherwise(0).cast("int").alias("depth"), "parent_ref")
-    kind = F.when(F.col("parent_ref").isNull(), "root").when(F.col("depth") == 0, "orphan").otherwise("mounted")
-    return out.select("ref", "entry", "depth", kind.alias("mount"))
+        ended.append(links.where("done"))
+    roots = tops.select("ref", F.col("up").alias("entry"), F.lit(0).alias("depth"), F.lit("root").alias("mount"))
+    others = [x.select("ref", F.col("up").alias("entry"), F.col("hops").cast("int").alias("depth"), F.when(F.col("hops") == 0, "orphan").otherwise("mounted").alias("mount")) for x in ended[1:]]
+    cycles = going.select("ref", F.col("ref").alias("entry"), F.lit(0).alias("depth"), F.lit("orphan").alias("mount"))
+    return reduce(DataFrame.union, [roots, *others, cycles])
 
 
 def inclusive_stats(sessions: DataFrame, closure: DataFrame) -> DataFrame:
