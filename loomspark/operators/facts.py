@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def timed(messages: DataFrame) -> DataFrame:
+    """messages with at_ms, the effective time: completed if positive, else created if positive, else null."""
+    return messages.withColumn("at_ms", F.when(F.col("time_completed") > 0, F.col("time_completed")).when(F.col("time_created") > 0, F.col("time_created")))
+
+
 def message_facts(messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    """messages with ref and at, the effective time: completed if positive, else created if positive, else null."""
-    at = F.when(F.col("time_completed") > 0, F.col("time_completed")).when(F.col("time_created") > 0, F.col("time_created"))
-    return messages.withColumn("at_ms", at).join(sessions.select("session_id", "ref"), "session_id")
+    """timed() messages with their session's ref."""
+    return timed(messages).join(sessions.select("session_id", "ref"), "session_id")
 
 
 def session_summary(facts: DataFrame) -> DataFrame:

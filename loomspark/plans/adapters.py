@@ -30,7 +30,7 @@ def _json(**fields: str) -> F.Column:
 
 def _opencode(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     m = Model(spark, sf_dir)
-    sessions = m.sessions.select(F.col("ref").alias("id"), F.col("parent_ref").alias("parent_id"), F.expr("if(ordinal % 3 = 0, ' ', title) AS title"), "directory", "time_created", "time_updated")
+    sessions = m.heads.select(F.col("ref").alias("id"), F.col("parent_ref").alias("parent_id"), F.expr("if(ordinal % 3 = 0, ' ', title) AS title"), "directory", "time_created", "time_updated")
     data = _json(type="if(message_index % 5 = 4, 'queue-operation', null)", role="role", modelID="model", cost="if(message_index % 3 = 0, 0, cost)", tokens="named_struct('input', input, 'output', output)")
     rows = m.facts.withColumn("id", F.concat_ws("/", "ref", "message_index"))
     messages = rows.select("id", F.col("ref").alias("session_id"), F.col("message_index").cast("long").alias("time_created"), data.alias("data"))
@@ -72,7 +72,7 @@ def _pi(spark, sf_dir) -> DataFrame:
     empty = [F.lit(None).cast("string").alias(c) for c in ("name", "summary", "content")]
     after = F.expr("cast(if(message_index = 2, 0, if(message_index = 0, null, message_index - 1)) AS string)")
     entries = m.facts.select("ref", F.col("message_index").cast("long").alias("line"), F.lit("message").alias("type"), F.col("message_index").cast("string").alias("id"), after.alias("parentId"), F.col("time_created").cast("string").alias("timestamp"), F.lit(None).cast("string").alias("cwd"), *empty, F.lit(None).cast("boolean").alias("display"), F.from_json(said, pi.MESSAGE).alias("message"))
-    top = m.sessions.select("ref", F.lit(-1).cast("long").alias("line"), F.lit("session").alias("type"), F.col("time_created").cast("string").alias("timestamp"), F.col("directory").alias("cwd"))
+    top = m.heads.select("ref", F.lit(-1).cast("long").alias("line"), F.lit("session").alias("type"), F.col("time_created").cast("string").alias("timestamp"), F.col("directory").alias("cwd"))
     both = entries.unionByName(top, allowMissingColumns=True)
     return both.withColumns({"stem": F.col("ref"), "changed": F.lit(None).cast("timestamp")})
 

@@ -29,22 +29,29 @@ class Model:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.messages, self.sessions = lens.messages(spark, sf_dir), lens.sessions(spark, sf_dir)
 
     def _kept(self, name: str, build) -> DataFrame:
         return lens.kept(self.spark, self.sf_dir, name, build)
 
+    @property
+    def heads(self) -> DataFrame:
+        return lens.heads(self.spark, self.sf_dir)
+
+    @property
+    def sessions(self) -> DataFrame:
+        return lens.sessions(self.spark, self.sf_dir)
+
     @property
     def closure(self) -> DataFrame:
-        return self._kept("closure", lambda: closure.mount(self.sessions))
+        return self._kept("closure", lambda: closure.mount(self.heads))
 
     @property
     def entries(self) -> DataFrame:
-        return self.sessions.join(self.closure.where("ref = entry").select("ref", "mount"), "ref")
+        return self.heads.join(self.closure.where("ref = entry").select("ref", "mount"), "ref")
 
     @property
     def facts(self) -> DataFrame:
-        return self._kept("facts", lambda: facts.message_facts(self.messages, self.sessions))
+        return lens.facts(self.spark, self.sf_dir)
 
     @property
     def summary(self) -> DataFrame:
@@ -100,7 +107,7 @@ DAY_SQL = "strftime(make_timestamp({} * 1000), '%Y-%m-%d')"
 
 @query("SELECT project_kind, project_key, min(project_name) AS name, string_agg(DISTINCT agent_name, ',' ORDER BY agent_name) AS agents, count(*) AS sessions, max(activity) AS latest FROM sessions WHERE parent_ref IS NULL GROUP BY 1, 2")
 def project_groups_view(spark, sf_dir):
-    roots = lens.sessions(spark, sf_dir).where("parent_ref is null")
+    roots = lens.heads(spark, sf_dir).where("parent_ref is null")
     return dashboard.project_groups(roots, F.min("project_name"))
 
 
@@ -123,7 +130,7 @@ def session_cost_summary(spark, sf_dir):
 @query(f"SELECT model, round(sum(f.cost), 2) AS cost, round(sum(recorded), 2) AS recorded, round(sum(f.cost - recorded), 2) AS estimated FROM model_facts f JOIN sessions s USING (ref) WHERE {INSIDE} GROUP BY model", *BASE, FACTS_SQL)
 def model_cost_distribution(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return facts.model_distribution(m.models, m.sessions, FROM, TO).select("model", money("cost"), money("recorded"), money("estimated"))
+    return facts.model_distribution(m.models, m.heads, FROM, TO).select("model", money("cost"), money("recorded"), money("estimated"))
 
 
 FILES = "files AS (SELECT ref, path, CASE tool WHEN 'read' THEN 'read' WHEN 'edit' THEN 'edit' ELSE 'write' END AS kind, count(*) AS count, max(coalesce(at_ms, 0)) AS latest FROM facts GROUP BY ALL)"
@@ -158,7 +165,7 @@ def subtree_cost_filter(spark, sf_dir):
 @query(f"SELECT s.ref, c.entry, c.depth, c.mount, s.activity FROM sessions s JOIN closure c USING (ref) JOIN sessions e ON e.ref = c.entry WHERE e.{INSIDE}", *BASE, CLOSURE_SQL)
 def tree_window_filter(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return closure.window_filter(m.sessions, m.closure, FROM, TO).select("ref", "entry", "depth", "mount", "activity")
+    return closure.window_filter(m.heads, m.closure, FROM, TO).select("ref", "entry", "depth", "mount", "activity")
 
 
 @query(f"SELECT {DAY_SQL.format('activity')} AS day, count(*) AS mains, sum(descendants)::BIGINT AS subs FROM entries e JOIN incl i ON i.entry = e.ref GROUP BY 1", *BASE, CLOSURE_SQL)

@@ -102,7 +102,7 @@ def search_snippet_windows(spark, sf_dir):
 @query("SELECT ref, activity, ((row_number() OVER (ORDER BY activity DESC, ref) - 1) // 60)::INT AS page FROM sessions ORDER BY activity DESC, ref LIMIT 240", *BASE)
 def cursor_pages(spark, sf_dir):
     """The first four pages of the sessions, each continued from the last by its cursor."""
-    rows, cursor, found = lens.sessions(spark, sf_dir).select("ref", "activity"), None, []
+    rows, cursor, found = lens.heads(spark, sf_dir).select("ref", "activity"), None, []
     for n in range(4):
         page = cursors.page(rows, [("activity", True), ("ref", False)], 60, {"view": "sessions", "cursor": cursor or ""}, sf_dir, "by activity", cursor)
         found += [(*r, n) for r in page.rows]

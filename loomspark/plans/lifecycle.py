@@ -48,7 +48,7 @@ def snapshot_diff_partial(spark, sf_dir):
 
 @query("SELECT ref, CASE WHEN ordinal % 4 = 1 THEN 'new ' || title ELSE title END AS title FROM sessions WHERE (ordinal % 3 <> 0 OR ordinal % 4 = 1) AND (ordinal % 7 <> 2 OR ordinal % 4 = 1)", *BASE)
 def apply_changes(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir)
+    heads = lens.heads(spark, sf_dir)
     snapshot = heads.where("ordinal % 3 <> 0").select("ref", "title")
     upserts = heads.where("ordinal % 4 = 1").select("ref", F.concat(F.lit("new "), "title").alias("title"))
     return incremental.apply_changes(snapshot, upserts, heads.where("ordinal % 7 = 2").select("ref"))
@@ -56,7 +56,7 @@ def apply_changes(spark, sf_dir):
 
 @query("SELECT ref, coalesce(CASE WHEN ordinal % 4 = 1 THEN nullif('s' || ordinal % 8, 's5') END, CASE WHEN ordinal % 3 <> 0 THEN 't' || ordinal END) AS meta, CASE WHEN ordinal % 4 = 1 THEN 'source' ELSE 'target' END AS title FROM sessions WHERE ordinal % 3 <> 0 OR ordinal % 4 = 1", *BASE)
 def merge_heads(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir)
+    heads = lens.heads(spark, sf_dir)
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     target = heads.where("ordinal % 3 <> 0").select("ref", text("t", F.col("ordinal")).alias("meta"), F.lit("target").alias("title"))
     source = heads.where("ordinal % 4 = 1").select("ref", F.nullif(text("s", F.col("ordinal") % 8), F.lit("s5")).alias("meta"), F.lit("source").alias("title"))

@@ -119,12 +119,12 @@ def search_cost_filter(spark, sf_dir):
 
 @query("SELECT ref FROM sessions WHERE lower(directory) = '/work/nation_3' OR starts_with(lower(directory), '/work/nation_3/') OR starts_with('/work/nation_3', lower(directory) || '/') OR (project_kind = 'path' AND project_key = '/work/nation_7')", *BASE)
 def project_scope(spark, sf_dir):
-    return search.in_project(lens.sessions(spark, sf_dir), "path", "/work/nation_7", "/Work/NATION_3").select("ref")
+    return search.in_project(lens.heads(spark, sf_dir), "path", "/work/nation_7", "/Work/NATION_3").select("ref")
 
 
 @query(f"SELECT s.ref, p.title AS parent_title FROM (SELECT * FROM sessions WHERE {INSIDE}) s LEFT JOIN sessions p ON s.parent_ref = p.ref", *BASE)
 def parent_titles(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir)
+    heads = lens.heads(spark, sf_dir)
     return search.with_parent_titles(dashboard.in_window(heads, FROM, TO).select("ref"), heads)
 
 
@@ -143,13 +143,13 @@ def _ranked(rows, *order):
 def search_merge(spark, sf_dir):
     m = Model(spark, sf_dir)
     edited = facts.file_activity(m.facts).where("kind = 'edit'").groupBy("ref").agg(F.max("latest").alias("latest")).orderBy(F.desc("latest"), "ref").limit(50)
-    recent = m.sessions.select("ref", "activity").orderBy(F.desc("activity"), "ref").limit(60)
+    recent = m.heads.select("ref", "activity").orderBy(F.desc("activity"), "ref").limit(60)
     return search.merge_sources([_ranked(edited, F.desc("latest"), "ref"), _ranked(recent, F.desc("activity"), "ref")], 50)
 
 
 @query("""SELECT ref, source::INT AS source, place FROM (SELECT ref, 0 AS source, place FROM a WHERE place <= 5 UNION ALL SELECT ref, 1, place FROM b WHERE ref NOT IN (SELECT ref FROM a WHERE place <= 5)) ORDER BY source, place, ref LIMIT 20""", *BASE, "a AS (SELECT ref, row_number() OVER (ORDER BY activity DESC, ref) AS place FROM sessions WHERE ordinal % 20 = 3 ORDER BY 2 LIMIT 40), b AS (SELECT ref, row_number() OVER (ORDER BY activity DESC, ref) AS place FROM sessions ORDER BY 2 LIMIT 40)")
 def alias_quota_merge(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir).select("ref", "ordinal", "activity")
+    heads = lens.heads(spark, sf_dir).select("ref", "ordinal", "activity")
     named = heads.where("ordinal % 20 = 3").orderBy(F.desc("activity"), "ref").limit(40)
     found = heads.orderBy(F.desc("activity"), "ref").limit(40)
     return search.alias_quota(_ranked(found, F.desc("activity"), "ref"), _ranked(named, F.desc("activity"), "ref"), 20)
@@ -158,44 +158,44 @@ def alias_quota_merge(spark, sf_dir):
 @query("""SELECT b.ref, marked, coalesce(l.title, s.title) AS title, coalesce(l.activity, s.activity, marked) AS activity, CASE WHEN l.ref IS NOT NULL THEN 'live' WHEN s.ref IS NOT NULL THEN 'stored' ELSE 'missing' END AS availability
   FROM (SELECT CASE WHEN ordinal % 5 = 0 THEN 'gone/' || session_id ELSE ref END AS ref, time_created + 5 AS marked FROM sessions WHERE ordinal % 11 = 0) b LEFT JOIN (SELECT * FROM sessions WHERE ordinal % 2 = 0) l ON l.ref = b.ref LEFT JOIN sessions s ON s.ref = b.ref""", *BASE)
 def bookmark_views(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir)
+    heads = lens.heads(spark, sf_dir)
     marks = heads.where("ordinal % 11 = 0").select(F.when(F.col("ordinal") % 5 == 0, F.concat(F.lit("gone/"), F.col("session_id"))).otherwise(F.col("ref")).alias("ref"), (F.col("time_created") + 5).alias("marked"))
     return bookmarks.bookmark_views(marks, heads.where("ordinal % 2 = 0"), heads)
 
 
 @query("SELECT ref, coalesce(CASE WHEN ordinal % 13 = 0 THEN 'Alias ' || session_id END, title) AS display_title FROM sessions WHERE contains(lower(coalesce(CASE WHEN ordinal % 13 = 0 THEN 'Alias ' || session_id END, title)), 'alias 1')", *BASE)
 def alias_search(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir)
+    heads = lens.heads(spark, sf_dir)
     aliases = heads.where("ordinal % 13 = 0").select("ref", F.concat(F.lit(" Alias "), F.col("session_id"), F.lit(" ")).alias("alias"))
     return bookmarks.display_titles(heads, aliases).where(F.lower("display_title").contains("alias 1")).select("ref", "display_title")
 
 
 @query("SELECT ref, activity FROM sessions ORDER BY activity DESC, ref LIMIT 40 OFFSET 80", *BASE)
 def snapshot_page(spark, sf_dir):
-    return dashboard.page(lens.sessions(spark, sf_dir).select("ref", "activity"), [F.desc("activity"), F.col("ref")], 80, 40)
+    return dashboard.page(lens.heads(spark, sf_dir).select("ref", "activity"), [F.desc("activity"), F.col("ref")], 80, 40)
 
 
 @query("SELECT ref, agent_name, ((row_number() OVER (PARTITION BY agent_name ORDER BY activity DESC, ref) - 1) // 40)::INT AS page FROM sessions", *BASE)
 def timeline_pages(spark, sf_dir):
-    rows = lens.sessions(spark, sf_dir).select("ref", "agent_name", "activity")
+    rows = lens.heads(spark, sf_dir).select("ref", "agent_name", "activity")
     return dashboard.aligned_pages(rows, "agent_name", [F.desc("activity"), F.col("ref")]).drop("activity")
 
 
 @query("SELECT project, n FROM (SELECT project_kind || ':' || project_key AS project, count(*) AS n FROM sessions GROUP BY 1 ORDER BY n DESC, project LIMIT 8) UNION ALL SELECT 'path:/nowhere', 0", *BASE)
 def project_facets(spark, sf_dir):
-    return bookmarks.facets(lens.sessions(spark, sf_dir), "path:/nowhere")
+    return bookmarks.facets(lens.heads(spark, sf_dir), "path:/nowhere")
 
 
 @query("SELECT ref, min(marked) AS marked FROM (SELECT ref, time_created AS marked FROM sessions WHERE ordinal % 11 = 0 UNION ALL SELECT ref, time_created - 50 + ordinal % 100 FROM sessions WHERE ordinal % 4 = 0) GROUP BY 1", *BASE)
 def bookmark_upsert(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir)
+    heads = lens.heads(spark, sf_dir)
     incoming = heads.where("ordinal % 4 = 0").select("ref", (F.col("time_created") - 50 + F.col("ordinal") % 100).alias("marked"))
     return bookmarks.mark(heads.where("ordinal % 11 = 0").select("ref", F.col("time_created").alias("marked")), incoming)
 
 
 @query("SELECT ref, 'new ' || session_id AS alias FROM sessions WHERE ordinal % 6 = 0 AND ordinal % 4 <> 0 UNION ALL SELECT ref, 'old' FROM sessions WHERE ordinal % 3 = 0 AND ordinal % 6 <> 0", *BASE)
 def alias_upsert(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir)
+    heads = lens.heads(spark, sf_dir)
     existing = heads.where("ordinal % 3 = 0").select("ref", F.lit("old").alias("alias"))
     incoming = heads.where("ordinal % 6 = 0").select("ref", F.when(F.col("ordinal") % 4 == 0, " ").otherwise(F.concat(F.lit(" new "), "session_id")).alias("alias"))
     return bookmarks.rename(existing, incoming)
@@ -204,10 +204,10 @@ def alias_upsert(spark, sf_dir):
 @query("SELECT ref FROM closure WHERE entry IN (SELECT entry FROM closure JOIN sessions USING (ref) WHERE ordinal % 40 = 3)", *BASE, CLOSURE_SQL)
 def tree_context(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return closure.context(m.closure, m.sessions.where("ordinal % 40 = 3"))
+    return closure.context(m.closure, m.heads.where("ordinal % 40 = 3"))
 
 
 @query(f"SELECT count(*) FILTER (WHERE a.ref IS NULL) AS added, count(*) FILTER (WHERE b.ref IS NULL) AS removed FROM (SELECT ref FROM sessions WHERE {INSIDE} AND ordinal % 5 <> 0) a FULL JOIN (SELECT ref FROM sessions WHERE {INSIDE} AND ordinal % 7 <> 0) b ON a.ref = b.ref", *BASE)
 def window_change(spark, sf_dir):
-    inside = dashboard.in_window(lens.sessions(spark, sf_dir), FROM, TO)
+    inside = dashboard.in_window(lens.heads(spark, sf_dir), FROM, TO)
     return closure.visible_change(inside.where("ordinal % 5 <> 0"), inside.where("ordinal % 7 <> 0"))

@@ -24,7 +24,7 @@ def query(sql: str, *parts: str):
 
 def _sources(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(heads, found, known, present)."""
-    rows = lens.sessions(spark, sf_dir)
+    rows = lens.heads(spark, sf_dir)
     found = rows.where("ordinal % 7 <> 0").selectExpr("ref", "concat('/logs/', if(ordinal % 11 = 0, 'new/', ''), session_id) AS path", "concat(activity, if(ordinal % 3 = 0, 'b', 'a')) AS fingerprint")
     heads = rows.where("ordinal % 5 <> 0")
     known = heads.selectExpr("ref", "if(ordinal % 21 = 0, '', concat('/logs/', session_id)) AS path", "concat(activity, 'a') AS fingerprint", "if(ordinal % 13 = 0, null, activity) AS changed_at", "ordinal % 17 = 0 AS stale")
@@ -41,13 +41,13 @@ outcomes AS (SELECT *, CASE WHEN state = 'changed' THEN CASE ordinal % 4 WHEN 0
 def source_changes(spark, sf_dir):
     _, found, known, present = _sources(spark, sf_dir)
     changes = sync.source_changes(found, known, present, FROM, TO)
-    return changes.join(lens.sessions(spark, sf_dir).select("ref", "ordinal"), "ref").groupBy("state").agg(F.count("*").alias("n"), F.sum("ordinal").alias("ordinals"))
+    return changes.join(lens.heads(spark, sf_dir).select("ref", "ordinal"), "ref").groupBy("state").agg(F.count("*").alias("n"), F.sum("ordinal").alias("ordinals"))
 
 
 def _pass(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(heads, parsed, outcomes) of a pass whose sources fail, are filtered, can be read, or went meanwhile, by their number."""
     heads, found, known, present = _sources(spark, sf_dir)
-    read = lens.sessions(spark, sf_dir).where("ordinal % 8 <> 3").selectExpr("ref", "ordinal", "title", "activity", "CASE ordinal % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'filtered' ELSE 'parsed' END AS status")
+    read = lens.heads(spark, sf_dir).where("ordinal % 8 <> 3").selectExpr("ref", "ordinal", "title", "activity", "CASE ordinal % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'filtered' ELSE 'parsed' END AS status")
     outcomes = sync.outcomes_of(sync.source_changes(found, known, present, FROM, TO), read, heads)
     parsed = read.where("status = 'parsed'").selectExpr("ref AS source_ref", "if(ordinal % 6 = 0, concat(ref, '/x'), ref) AS ref", "concat('read ', title) AS title", "activity + 1 AS activity")
     return heads.select("ref", "title", "activity"), parsed, outcomes

@@ -53,7 +53,7 @@ def index_freshness(spark, sf_dir):
 @query("SELECT d.ref, s.activity FROM docs d JOIN sessions s ON s.ref = d.ref WHERE pending", *BASE, FACTS_SQL, DOCUMENTS)
 def pending_reindex(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return index.to_reindex(_documents(m), m.sessions)
+    return index.to_reindex(_documents(m), m.heads)
 
 
 @query(f"""SELECT coalesce(a.ref, b.ref) AS ref, coalesce(b.hash, a.hash) AS hash, coalesce(b.messages, a.messages) AS messages, coalesce(b.version, a.version) AS version,
@@ -77,28 +77,28 @@ def message_replacement(spark, sf_dir):
 
 @query("SELECT ref FROM sessions WHERE ordinal % 4 = 0 OR ordinal % 6 = 1 OR ordinal % 10 = 3", *BASE)
 def stale_tags(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir)
+    heads = lens.heads(spark, sf_dir)
     known = heads.where("ordinal % 4 <> 0").select("ref", F.expr("activity - if(ordinal % 6 = 1, 1, 0) AS source_time"), F.expr("if(ordinal % 10 = 3, 1, 2) AS revision"))
     return index.stale_tags(heads, known, 2)
 
 
 @query("SELECT ref, CASE WHEN ordinal % 3 = 0 THEN 'own' WHEN ordinal % 2 = 0 THEN 'known' ELSE '' END AS tags FROM sessions", *BASE)
 def tag_inheritance(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir).withColumn("tags", F.when(F.expr("ordinal % 3 = 0"), F.array(F.lit("own"))))
+    heads = lens.heads(spark, sf_dir).withColumn("tags", F.when(F.expr("ordinal % 3 = 0"), F.array(F.lit("own"))))
     known = heads.where("ordinal % 2 = 0").select("agent_name", "session_id", F.array(F.lit("known")).alias("tags"))
     return index.inherited_tags(heads, known).select("ref", F.array_join("tags", ",").alias("tags"))
 
 
 @query("SELECT ref, activity, shard FROM (SELECT ref, activity // 1000000000 AS activity, 0 AS shard FROM sessions WHERE ordinal % 3 = 0 UNION ALL SELECT ref, activity // 1000000000, 1 FROM sessions WHERE ordinal % 3 = 1) ORDER BY activity DESC, shard, ref LIMIT 200", *BASE)
 def shard_merge(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir).select("ordinal", "ref", F.expr("activity div 1000000000 AS activity"))
+    heads = lens.heads(spark, sf_dir).select("ordinal", "ref", F.expr("activity div 1000000000 AS activity"))
     shards = [heads.where(F.col("ordinal") % 3 == i).select("ref", "activity") for i in (0, 1)]
     return index.merged_shards(shards, F.desc("activity")).orderBy(F.desc("activity"), "shard", "ref").limit(200)
 
 
 @query("SELECT project_kind, project_key, latest FROM (SELECT project_kind, project_key, max(CASE WHEN ordinal % 2 = 0 AND project_key < '/work/nation_2' THEN NULL ELSE activity END) AS latest FROM sessions WHERE ordinal % 50 <> 8 GROUP BY ALL) ORDER BY project_kind = 'loose', latest DESC NULLS LAST, project_kind, project_key LIMIT 30", *BASE)
 def project_order(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir).where("ordinal % 50 <> 8")
+    heads = lens.heads(spark, sf_dir).where("ordinal % 50 <> 8")
     latest = F.max(F.expr("if(ordinal % 2 = 0 and project_key < '/work/nation_2', null, activity)"))
     return index.project_order(heads.groupBy("project_kind", "project_key").agg(latest.alias("latest"))).limit(30)
 
@@ -114,7 +114,7 @@ def first_wins(spark, sf_dir):
 SELECT ref, entry, array_to_string(path, '>') AS path FROM walk UNION ALL SELECT ref, ref, activity::VARCHAR || ':' || ref FROM sessions WHERE ref NOT IN (SELECT ref FROM tree)""".replace("walk AS", ", walk AS", 1), *BASE, CLOSURE_SQL)
 def depth_first_order(spark, sf_dir):
     m = Model(spark, sf_dir)
-    rows = index.depth_first(m.sessions, m.closure)
+    rows = index.depth_first(m.heads, m.closure)
     return rows.select("ref", "entry", F.array_join(F.transform("path", lambda p: F.concat_ws(":", p["activity"], p["ref"])), ">").alias("path"))
 
 
@@ -126,7 +126,7 @@ def timeline_totals(spark, sf_dir):
 
 @query("SELECT max(activity) AS latest, count(*) AS sessions FROM sessions", *BASE)
 def cache_info(spark, sf_dir):
-    return index.cache_info(lens.sessions(spark, sf_dir))
+    return index.cache_info(lens.heads(spark, sf_dir))
 
 
 @query("SELECT ref, sum(messages)::BIGINT AS messages, sum(tokens)::BIGINT AS tokens, round(sum(cost), 2) AS cost FROM (SELECT ref, message_count AS messages, coalesce(total_tokens, input_tokens + output_tokens) AS tokens, total_cost AS cost FROM sessions UNION ALL SELECT parent_ref, message_count, coalesce(total_tokens, input_tokens + output_tokens), total_cost FROM sessions WHERE parent_ref IN (SELECT ref FROM sessions)) GROUP BY 1", *BASE)
@@ -241,12 +241,12 @@ FILTERED = CLOSURE_SQL.replace("FROM sessions", "FROM some_heads").replace("JOIN
 @query("SELECT ref, entry, depth, mount FROM closure", *BASE, "some_heads AS (SELECT * FROM sessions WHERE agent_name IN ('1-urgent', '2-high'))", FILTERED)
 def list_filter_before_tree(spark, sf_dir):
     """Children of a parent that the filter takes away become orphans."""
-    return closure.mount(lens.sessions(spark, sf_dir).where("agent_name in ('1-urgent', '2-high')")).select("ref", "entry", "depth", "mount")
+    return closure.mount(lens.heads(spark, sf_dir).where("agent_name in ('1-urgent', '2-high')")).select("ref", "entry", "depth", "mount")
 
 
 @query("SELECT b.ref, marked, coalesce(s.activity, marked) AS shown FROM (SELECT CASE WHEN ordinal % 5 = 0 THEN 'gone/' || session_id ELSE ref END AS ref, time_created + 5 AS marked FROM sessions WHERE ordinal % 11 = 0) b LEFT JOIN sessions s USING (ref) ORDER BY shown DESC, marked DESC, b.ref LIMIT 60", *BASE)
 def bookmark_order(spark, sf_dir):
-    heads = lens.sessions(spark, sf_dir)
+    heads = lens.heads(spark, sf_dir)
     marks = heads.where("ordinal % 11 = 0").select(F.expr("if(ordinal % 5 = 0, concat('gone/', session_id), ref) AS ref"), (F.col("time_created") + 5).alias("marked"))
     rows = marks.join(heads.select("ref", "activity"), "ref", "left").select("ref", "marked", F.coalesce("activity", "marked").alias("shown"))
     return rows.orderBy(F.desc("shown"), F.desc("marked"), "ref").limit(60)
