@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -34,13 +34,27 @@ def totals(entries: DataFrame, costs: DataFrame, usage: DataFrame, start: int, e
     return joined.withColumn("estimated_cost", F.col("cost") - F.col("recorded_cost"))
 
 
+def _days(spark: SparkSession, start: int, end: int) -> DataFrame:
+    """(day) of a window's calendar days."""
+    days = F.sequence(F.to_date(F.timestamp_millis(F.lit(start))), F.to_date(F.timestamp_millis(F.lit(end))))
+    return spark.range(1).select(F.explode(days).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("day"))
+
+
+def _cost_of_days(costs: DataFrame) -> DataFrame:
+    return costs.groupBy(day_of(F.col("at_ms")).alias("day")).agg(F.sum("cost").alias("cost"))
+
+
+def daily_costs(costs: DataFrame, start: int, end: int) -> DataFrame:
+    """(day, cost) of dense calendar days, without what daily() has besides."""
+    return _days(costs.sparkSession, start, end).join(_cost_of_days(costs), "day", "left").na.fill(0)
+
+
 def daily(entries: DataFrame, costs: DataFrame, usage: DataFrame, start: int, end: int) -> DataFrame:
     """Dense calendar-day buckets; input leaves cache tokens out and is never negative."""
-    spark = entries.sparkSession
-    spine = spark.range(1).select(F.explode(F.sequence(F.to_date(F.timestamp_millis(F.lit(start))), F.to_date(F.timestamp_millis(F.lit(end))))).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("day"))
+    spine = _days(entries.sparkSession, start, end)
     heads = in_window(entries, start, end).groupBy(day_of(F.col("activity")).alias("day")).agg(F.count("*").alias("sessions"))
     used = usage.groupBy(day_of(F.col("at_ms")).alias("day")).agg(*[F.sum(c).alias(c) for c in ("messages", "tokens", "input", "output", "cache_read", "cache_create")])
-    paid = costs.groupBy(day_of(F.col("at_ms")).alias("day")).agg(F.sum("cost").alias("cost"))
+    paid = _cost_of_days(costs)
     rows = spine.join(heads, "day", "left").join(used, "day", "left").join(paid, "day", "left").na.fill(0)
     fresh = F.greatest(F.col("input") - F.col("cache_read") - F.col("cache_create"), F.lit(0))
     return rows.withColumn("input", fresh)

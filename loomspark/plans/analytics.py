@@ -291,8 +291,7 @@ def model_composition(spark, sf_dir):
 
 @query(f"SELECT round(max(c), 2) AS peak, round(avg(c), 2) AS average, round(sum(c), 2) AS total FROM (SELECT coalesce(sum(cost), 0) AS c FROM range({FROM}, {TO}, {DAY}) r(t) LEFT JOIN costs ON at_ms // {DAY} = t // {DAY} GROUP BY t)", *ATTRIBUTED)
 def cost_curve(spark, sf_dir):
-    m = Model(spark, sf_dir)
-    rows = dashboard.curve(dashboard.daily(m.entries, m.costs(), m.usage(), FROM, TO))
+    rows = dashboard.curve(dashboard.daily_costs(Model(spark, sf_dir).costs(), FROM, TO))
     return rows.select(money("peak", 2), money("average", 2), money("total", 2))
 
 

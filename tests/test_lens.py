@@ -56,6 +56,16 @@ def test_heads_need_no_messages(spark):
         lens._KEPT.update(before)
 
 
+def test_curve_needs_no_usage(spark):
+    before = dict(lens._KEPT)
+    lens._KEPT.clear()
+    try:
+        assert QUERIES["cost_curve"](spark, TABLES).count() == 1
+        assert not any(k[2].startswith("usage") for k in lens._KEPT)
+    finally:
+        lens._KEPT.update(before)
+
+
 def test_mount_joins_only_open_sessions(spark, monkeypatch):
     """A round writes the sessions whose top isn't found yet, not all."""
     sizes, write = [], closure.written
