@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -87,3 +90,40 @@ def visible_branch(entries: DataFrame) -> DataFrame:
         return [(rows[0]["ref"], x, n) for n, x in enumerate(reversed(path))]
 
     return reduce_sessions(entries, "line", walk, "ref string, id string, depth long")
+
+
+def branch_depths(entries: DataFrame, place: str) -> DataFrame:
+    """(ref, depths): for each session's entries by place their depth on the path from its last entry to the root; null off the path.
+
+    entries(ref, id, parent_id, place) are dealt by session, as the window that numbers them leaves them; places go from zero
+    without a gap. Of repeated ids the last counts, cycles end where they close. Rows stream through by Arrow batches, sorted; a session's ids are in memory at a time.
+    """
+
+    def of_session(ids: list, parents: list) -> list:
+        places, path = {x: i for i, x in enumerate(ids)}, {}
+        at = ids[-1]
+        while at in places and at not in path:
+            path[at] = None
+            at = parents[places[at]]
+        depths = [None] * len(ids)
+        for n, x in enumerate(reversed(path)):
+            depths[places[x]] = n
+        return depths
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref, ids, parents = None, [], []
+        for batch in batches:
+            refs, out = [], []
+            for r, i, p in zip(*[batch.column(c).to_pylist() for c in ("ref", "id", "parent_id")]):
+                if r != ref and ids:
+                    refs.append(ref)
+                    out.append(of_session(ids, parents))
+                    ids, parents = [], []
+                ref = r
+                ids.append(i)
+                parents.append(p)
+            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(out, pa.list_(pa.int64()))], ["ref", "depths"])
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array([ref], pa.string()), pa.array([of_session(ids, parents)], pa.list_(pa.int64()))], ["ref", "depths"])
+
+    return entries.sortWithinPartitions("ref", place).select("ref", "id", "parent_id").mapInArrow(run, "ref string, depths array<bigint>")

@@ -71,7 +71,8 @@ def _pi(spark, sf_dir) -> DataFrame:
     )
     empty = [F.lit(None).cast("string").alias(c) for c in ("name", "summary", "content")]
     after = F.expr("cast(if(message_index = 2, 0, if(message_index = 0, null, message_index - 1)) AS string)")
-    entries = m.facts.select("ref", F.col("message_index").cast("long").alias("line"), F.lit("message").alias("type"), F.col("message_index").cast("string").alias("id"), after.alias("parentId"), F.col("time_created").cast("string").alias("timestamp"), F.lit(None).cast("string").alias("cwd"), *empty, F.lit(None).cast("boolean").alias("display"), F.from_json(said, pi.MESSAGE).alias("message"))
+    facts = m.facts.repartition("ref")  # before JSON is made of them
+    entries = facts.select("ref", F.col("message_index").cast("long").alias("line"), F.lit("message").alias("type"), F.col("message_index").cast("string").alias("id"), after.alias("parentId"), F.col("time_created").cast("string").alias("timestamp"), F.lit(None).cast("string").alias("cwd"), *empty, F.lit(None).cast("boolean").alias("display"), F.from_json(said, pi.MESSAGE).alias("message"))
     top = m.heads.select("ref", F.lit(-1).cast("long").alias("line"), F.lit("session").alias("type"), F.col("time_created").cast("string").alias("timestamp"), F.col("directory").alias("cwd"))
     both = entries.unionByName(top, allowMissingColumns=True)
     return both.withColumns({"stem": F.col("ref"), "changed": F.lit(None).cast("timestamp")})
