@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.facts import named_costs
+
 ABSOLUTE, RELATIVE = 1e-8, 1e-6
 
 
@@ -25,8 +27,11 @@ def _nodes(sessions: DataFrame, closure: DataFrame, summary: DataFrame, scope: C
     return closure.select("ref", "entry").join(tops, "entry").join(sessions.drop("activity"), "ref").join(own, "ref", "left")
 
 
-def attributed_costs(sessions: DataFrame, closure: DataFrame, facts: DataFrame, summary: DataFrame, models: DataFrame, start: int, end: int, scope: Column | None = None) -> DataFrame:
-    """(entry, ref, agent, project, at_ms, model, cost, source), one row per message or fallback part in the window."""
+def attributed_costs(sessions: DataFrame, closure: DataFrame, facts: DataFrame, summary: DataFrame, models: DataFrame | None, start: int, end: int, scope: Column | None = None) -> DataFrame:
+    """(entry, ref, agent, project, at_ms, model, cost, source), one row per message or fallback part in the window.
+
+    Costs by model are needed of a few sessions only; without models they are summed for these alone, session by session.
+    """
     rows = _nodes(sessions, closure, summary, scope).withColumn("total", F.greatest(F.col("total_cost"), F.lit(0.0))).where("total > 0")
     detailed = F.col("m_n").isNotNull() & (F.col("m_untimed_cost") <= ABSOLUTE) & close(F.col("m_cost"), F.col("total"))
     rows = rows.withColumn("detailed", F.coalesce(detailed, F.lit(False)))
@@ -34,11 +39,13 @@ def attributed_costs(sessions: DataFrame, closure: DataFrame, facts: DataFrame,
     paid = facts.where((F.col("cost") > 0) & F.col("at_ms").between(start, end)).select("ref", "at_ms", "model", F.col("cost").alias("part"), F.col("cost_source").alias("part_source"))
     detail = rows.where("detailed").join(paid, "ref").select(*keep, "at_ms", "model", F.col("part").alias("cost"), F.coalesce("part_source", "cost_source", F.lit("recorded")).alias("source"))
     rest = rows.where(~F.col("detailed") & F.col("entry_activity").between(start, end))
-    known = models.groupBy("ref").agg(F.sum("cost").alias("known"))
-    rest = rest.join(known, "ref", "left").withColumn("known", F.coalesce("known", F.lit(0.0)))
+    rest = rest.withColumn("known", F.coalesce("m_known", F.lit(0.0)))
     rest = rest.withColumn("split", (F.col("known") > 0) & ((F.col("known") <= F.col("total")) | close(F.col("known"), F.col("total"))))
     source = F.coalesce("cost_source", F.lit("recorded"))
-    parts = rest.where("split").join(models.select("ref", "model", F.col("cost").alias("part")), "ref").select(*keep, F.col("entry_activity").alias("at_ms"), "model", F.col("part").alias("cost"), source.alias("source"))
+    by_model = named_costs(facts).select("ref", "model", F.col("cost").alias("part")) if models is None else models.select("ref", "model", F.col("cost").alias("part"))
+    parts = rest.where("split").join(by_model, "ref").select(*keep, F.col("entry_activity").alias("at_ms"), "model", F.col("part").alias("cost"), source.alias("source"))
+    if models is None:
+        parts = parts.groupBy("ref", "model").agg(*[F.first(c).alias(c) for c in ("entry", "agent", "project", "at_ms")], F.sum("cost").alias("cost"), F.first("source").alias("source")).select("entry", "ref", "agent", "project", "at_ms", "model", "cost", "source")
     left = rest.withColumn("left", F.when(F.col("split"), F.greatest(F.col("total") - F.col("known"), F.lit(0.0))).otherwise(F.col("total"))).where(F.col("left") > RELATIVE)
     plain = left.select(*keep, F.col("entry_activity").alias("at_ms"), F.lit(None).cast("string").alias("model"), F.col("left").alias("cost"), source.alias("source"))
     return detail.unionByName(parts).unionByName(plain)

@@ -137,15 +137,22 @@ def curve(days: DataFrame) -> DataFrame:
     return days.agg(F.max("cost").alias("peak"), F.avg("cost").alias("average"), F.sum("cost").alias("total"))
 
 
-def project_groups(heads: DataFrame, name: Column) -> DataFrame:
-    """Groups by project identity: name, distinct agents, sessions and the latest activity."""
-    return heads.groupBy("project_kind", "project_key").agg(name.alias("name"), F.array_join(F.sort_array(F.collect_set("agent_name")), ",").alias("agents"), F.count("*").alias("sessions"), F.max("activity").alias("latest"))
-
-
-def project_metrics(groups: DataFrame, entries: DataFrame, inclusive: DataFrame) -> DataFrame:
-    """Groups with inclusive messages, tokens and cost, zero where absent."""
-    sums = entries.join(inclusive.select(F.col("entry").alias("ref"), "messages", "tokens", "cost"), "ref").groupBy("project_kind", "project_key").agg(*[F.sum(c).alias(c) for c in ("messages", "tokens", "cost")])
-    return groups.join(sums, ["project_kind", "project_key"], "left").na.fill(0, ["messages", "tokens", "cost"])
+def project_groups(heads: DataFrame, name: Column, *more: Column) -> DataFrame:
+    """Groups by project identity: name, distinct agents, sessions, the latest activity, and more."""
+    return heads.groupBy("project_kind", "project_key").agg(name.alias("name"), F.array_join(F.sort_array(F.collect_set("agent_name")), ",").alias("agents"), F.count("*").alias("sessions"), F.max("activity").alias("latest"), *more)
+
+
+def project_metrics(sessions: DataFrame, closure: DataFrame) -> DataFrame:
+    """project_groups() of the top entries, named by the first, with the messages, tokens and cost of all below them.
+
+    A tree's sums and its entry's own columns come of one grouping, so that sessions are read and joined once.
+    """
+    own = F.struct("project_kind", "project_key", "project_name", "agent_name", "activity", "ordinal")
+    tokens = F.coalesce("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
+    rows = sessions.join(closure.select("ref", "entry"), "ref")
+    trees = rows.groupBy("entry").agg(F.max(F.when(F.col("ref") == F.col("entry"), own)).alias("own"), F.sum("message_count").alias("messages"), F.sum(tokens).alias("tokens"), F.sum("total_cost").alias("cost"))
+    trees = trees.select("own.*", "messages", "tokens", "cost")
+    return project_groups(trees, F.min_by("project_name", "ordinal"), *[F.sum(c).alias(c) for c in ("messages", "tokens", "cost")])
 
 
 def page(rows: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:

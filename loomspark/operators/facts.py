@@ -17,7 +17,7 @@ def message_facts(messages: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def session_summary(facts: DataFrame) -> DataFrame:
-    """Counts, clamped token sums, untimed parts and cost sums per session; only positive costs count."""
+    """Counts, clamped token sums, untimed parts and cost sums per session; only positive costs count. known is that of messages with a model."""
     late, paid = F.col("at_ms").isNull(), F.col("cost") > 0
     kinds = ("input", "output", "reasoning", "cache_read", "cache_create")
     clamped = [F.greatest(F.col(c), F.lit(0)) for c in kinds]
@@ -26,13 +26,18 @@ def session_summary(facts: DataFrame) -> DataFrame:
     return facts.groupBy("ref").agg(
         F.count("*").alias("n"), *[F.sum(x).alias(c) for x, c in zip(clamped, kinds)],
         F.sum(late.cast("long")).alias("untimed_n"), F.sum(F.when(late, tokens).otherwise(0)).alias("untimed_tokens"),
-        total(paid).alias("cost"), total(paid & late).alias("untimed_cost"), total(paid & (F.coalesce("cost_source", F.lit("")) == "recorded")).alias("recorded_cost"),
+        total(paid).alias("cost"), total(paid & (F.col("model") != "")).alias("known"), total(paid & late).alias("untimed_cost"), total(paid & (F.coalesce("cost_source", F.lit("")) == "recorded")).alias("recorded_cost"),
     )
 
 
+def named_costs(facts: DataFrame) -> DataFrame:
+    """The messages with a cost and a model."""
+    return facts.where((F.col("model") != "") & (F.col("cost") > 0))
+
+
 def model_costs(facts: DataFrame) -> DataFrame:
     """Cost and recorded cost per (session, model); a null source is not recorded."""
-    return facts.where((F.col("model") != "") & (F.col("cost") > 0)).groupBy("ref", "model").agg(
+    return named_costs(facts).groupBy("ref", "model").agg(
         F.sum("cost").alias("cost"), F.sum(F.when(F.col("cost_source") == "recorded", F.col("cost")).otherwise(0.0)).alias("recorded")
     )
 

@@ -62,7 +62,7 @@ class Model:
         return self._kept("models", lambda: facts.model_costs(self.facts))
 
     def costs(self, start: int = FROM, end: int = TO) -> DataFrame:
-        return self._kept(f"costs-{start}-{end}", lambda: attribution.attributed_costs(self.sessions, self.closure, self.facts, self.summary, self.models, start, end))
+        return self._kept(f"costs-{start}-{end}", lambda: attribution.attributed_costs(self.sessions, self.closure, self.facts, self.summary, None, start, end))
 
     def usage(self, start: int = FROM, end: int = TO) -> DataFrame:
         return self._kept(f"usage-{start}-{end}", lambda: attribution.attributed_usage(self.sessions, self.closure, self.facts, self.summary, start, end))
@@ -298,8 +298,7 @@ def cost_curve(spark, sf_dir):
 @query("SELECT g.*, m.messages, m.tokens, m.cost FROM (SELECT project_kind, project_key, arg_min(project_name, ordinal) AS name, string_agg(DISTINCT agent_name, ',' ORDER BY agent_name) AS agents, count(*) AS sessions, max(activity) AS latest FROM entries GROUP BY 1, 2) g JOIN (SELECT project_kind, project_key, sum(messages)::BIGINT AS messages, sum(tokens)::BIGINT AS tokens, round(sum(cost), 2) AS cost FROM entries e JOIN incl i ON i.entry = e.ref GROUP BY 1, 2) m USING (project_kind, project_key)", *BASE, CLOSURE_SQL)
 def project_metrics(spark, sf_dir):
     m = Model(spark, sf_dir)
-    entries = m.entries
-    rows = dashboard.project_metrics(dashboard.project_groups(entries, F.min_by("project_name", "ordinal")), entries, closure.inclusive_stats(m.sessions, m.closure))
+    rows = dashboard.project_metrics(m.sessions, m.closure)
     return rows.withColumn("cost", F.round("cost", 2))
 
 
