@@ -9,7 +9,7 @@ data; all others are null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import once
@@ -118,3 +118,11 @@ def part_of(data: Column) -> Column:
         return once(text_in(member(raw, "type")), by_kind)
 
     return once(F.try_parse_json(data), made)
+
+
+def with_part(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a column of the part_of() their data, those that show nothing left out.
+
+    The part is generated, so that it is made once: a filter on a column is worked out anew below it.
+    """
+    return rows.select("*", F.explode_outer(F.array(part_of(F.col("data")))).alias(name)).where(f"{name} is not null")

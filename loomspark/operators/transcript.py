@@ -30,8 +30,7 @@ def cleaned(text: Column) -> Column:
 
     A tag's blocks go before the next tag's are looked for: of lines of blocks, each leaves the same line ends so.
     """
-    marks = "|".join((*INTERNAL_TAGS, *BARE_TAGS))
-    passes = [*[x for tag in INTERNAL_TAGS for x in _passes(tag)], (rf"(?i)</?(?:{marks})\b[^>]*>", "")]
+    marks = rf"(?i)</?(?:{'|'.join((*INTERNAL_TAGS, *BARE_TAGS))})\b[^>]*>"
     ends = [(r"[ \t]+(?=\r?\n|\z)", ""), (r"(?:\r?\n)+\z", "")]
 
     def replaced(out: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -39,8 +38,18 @@ def cleaned(text: Column) -> Column:
             out = F.regexp_replace(out, pattern, to)
         return out
 
-    plain = once(text, lambda t: F.when(t.contains("<"), replaced(t, passes)).otherwise(t))
-    return once(once(plain, lambda t: replaced(t, ends)), lambda t: F.when(t.rlike(r"\S"), t))
+    def without(tag: str):
+        """A tag's patterns are tried only on texts that name it."""
+        return lambda t: F.when(F.lower(t).contains(f"<{tag}"), replaced(t, _passes(tag))).otherwise(t)
+
+    def unmarked(t: Column) -> Column:
+        for tag in INTERNAL_TAGS:
+            t = once(t, without(tag))
+        return once(t, lambda x: F.when(x.contains("<"), F.regexp_replace(x, marks, "")).otherwise(x))
+
+    plain = once(text, lambda t: F.when(t.contains("<"), unmarked(t)).otherwise(t))
+    trimmed = lambda t: F.when(t.endswith(" ") | t.endswith("\t") | t.contains("\n"), replaced(t, ends)).otherwise(t)
+    return once(once(plain, trimmed), lambda t: F.when(t.rlike(r"\S"), t))
 
 
 def is_internal_event(kind: Column) -> Column:

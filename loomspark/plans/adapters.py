@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.parts import part_of
+from loomspark.functions.parts import with_part
 from loomspark.plans.analytics import Model
 from loomspark.plans.lens import BASE, CLOSURE_SQL, FACTS_SQL, with_sql
 from loomspark.sources import opencode, pi
@@ -57,8 +57,8 @@ def opencode_heads(spark, sf_dir):
 @query("""SELECT ref || '/' || message_index AS message_id, 'text' AS type, path AS text, NULL AS tool, NULL AS status, NULL AS output FROM facts WHERE message_index % 4 <> 3
   UNION ALL SELECT ref || '/' || message_index, 'tool', NULL, tool, CASE WHEN message_index % 2 = 0 OR message_index % 3 = 2 THEN 'completed' ELSE 'running' END, CASE WHEN message_index % 3 = 2 THEN path END FROM facts WHERE role = 'tool'""", *BASE, FACTS_SQL)
 def message_parts(spark, sf_dir):
-    parts = _opencode(spark, sf_dir)[2].select("message_id", part_of(F.col("data")).alias("p"))
-    return parts.where("p is not null").select("message_id", "p.type", "p.text", "p.tool", "p.status", "p.output")
+    parts = with_part(_opencode(spark, sf_dir)[2].select("message_id", "data"), "p")
+    return parts.select("message_id", "p.type", "p.text", "p.tool", "p.status", "p.output")
 
 
 def _pi(spark, sf_dir) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions.parts import part_of
+from loomspark.functions.parts import with_part
 from loomspark.functions.text import first_line_title
 from loomspark.operators.closure import mount
 from loomspark.operators.transcript import is_internal_event
@@ -51,10 +51,11 @@ def transcripts(messages: DataFrame, parts: DataFrame) -> DataFrame:
 
     cost is the recorded one; without one it is null, for the price table to fill.
     """
-    shown = parts.withColumn("part", part_of(F.col("data"))).where("part is not null and coalesce(message_id, '') <> ''")
+    shown = with_part(parts.where("coalesce(message_id, '') <> ''").select("message_id", "time_created", "id", "data"), "part")
     order = F.array_sort(F.collect_list(F.struct("time_created", "id", "part")))
     held = shown.groupBy(F.col("message_id").alias("id")).agg(F.transform(order, lambda x: x["part"]).alias("parts"))
-    rows = messages.withColumn("m", F.from_json("data", MESSAGE)).where(~is_internal_event(F.coalesce("m.type", F.lit(""))))
+    rows = messages.select("session_id", "id", "time_created", F.explode_outer(F.array(F.from_json("data", MESSAGE))).alias("m"))  # generated, so read once
+    rows = rows.where(~is_internal_event(F.coalesce("m.type", F.lit(""))))
     role = F.when(F.col("m.role").isin("user", "assistant", "tool"), F.col("m.role")).otherwise("assistant")
     cost = F.when(F.col("m.cost") > 0, F.col("m.cost"))
     count = lambda c: F.coalesce(f"m.tokens.{c}", F.lit(0).cast("long")).alias(c)

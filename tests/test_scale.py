@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from loomspark.operators import transcript
+from loomspark.functions.parts import with_part
+from loomspark.operators import builder, transcript
 from loomspark.sources import pi
 
 
@@ -36,3 +37,17 @@ def test_depths_count_the_last_of_repeated_ids(spark):
     df = spark.createDataFrame(rows, "ref string, place int, id string, parent_id string").repartition("ref")
     got = {r.ref: r.depths for r in transcript.branch_depths(df, "place").collect()}
     assert got == {"s": [0, None, 2, 1, 3], "t": [0, 1], "u": [0]}
+
+
+def test_parts_are_made_once(spark):
+    rows = spark.createDataFrame([("m", '{"type": "text", "text": "<system-reminder>x</system-reminder>hi "}'), ("n", "{}")], "id string, data string")
+    got = with_part(rows, "p")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1 and "Filter isnotnull(p" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.id, r.p.text) for r in got.collect()] == [("m", "hi")]
+
+
+def test_assigned_events_are_read_by_column(spark):
+    said = spark.createDataFrame([("r", 1, "message", "user", "e")], "ref string, line long, kind string, role string, id string")
+    rows = builder.assigned(builder.events_of(said)).select("ref", "message")
+    assert "FileScan parquet" in rows._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in rows.collect()] == [("r", 0)]
