@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspark.functions.parts import FIELDS
-from loomspark.operators.closure import checkpointed
+from loomspark.operators.closure import written
 from loomspark.operators.transcript import cleaned, is_internal_event
 
 COUNTERS = ("input", "output", "reasoning", "cache_read", "cache_create")
@@ -175,7 +175,7 @@ def assigned(events: DataFrame) -> DataFrame:
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", message int, opened boolean, counted boolean, model_after string, cost_after double, source_after string"
     ordered = rows.where("ref is not null").repartition("ref").sortWithinPartitions("ref", "line")
-    return checkpointed(ordered.mapInArrow(run, schema).drop("types", "has_tokens"))
+    return written(ordered.mapInArrow(run, schema).drop("types", "has_tokens"), "assigned")
 
 
 def _first(column: str, when: Column | None = None) -> Column:

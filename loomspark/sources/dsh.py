@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from loomspark.functions.parts import filled, is_object, member, part, shown, text_in
 from loomspark.functions.text import once
 from loomspark.operators import builder
-from loomspark.operators.closure import checkpointed
+from loomspark.operators.closure import written
 from loomspark.operators.transcript import cleaned
 from loomspark.sources.framed import frames
 
@@ -115,7 +115,7 @@ def events(lines: DataFrame) -> DataFrame:
     append = text_in(F.col("op")).eqNullSafe(F.lit("append"))
     replace = F.coalesce((text_in(member(F.col("op"), "op")) == "replace") & _long(member(F.col("op"), "start")).isNotNull() & _long(member(F.col("op"), "end")).isNotNull(), F.lit(False))
     problem = F.coalesce("problem", F.when(F.col("seq") != F.col("place"), "the events' numbers have a gap"), F.when(surface & ~append & ~replace, "an event's place on the surface is unknown"))
-    return checkpointed(whole.select("file", "seq", "place", "type", "time", "data", (surface & append).alias("appended"), problem.alias("problem")))
+    return written(whole.select("file", "seq", "place", "type", "time", "data", (surface & append).alias("appended"), problem.alias("problem")), "events")
 
 
 def problems(lines: DataFrame, heads: DataFrame, rows: DataFrame) -> DataFrame:
