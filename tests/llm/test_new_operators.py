@@ -249,3 +249,42 @@ def test_line_dedup_of_crowded_buckets_is_whole(spark):
     found = table([(i, lines[i]) for i in sorted(kept)])
     groups = {r.doc_id: r.component for r in found.join(linededup.duplicate_groups(found), "line").collect()}
     assert [p for p in pairs if groups.get(p[0], p[0]) != groups.get(p[1], p[1])] == []
+
+
+def test_line_dedup_joins_each_crowded_pair_once(spark):
+    """cross_pairs() makes every pair of two components that agrees and is similar, once, and none of one component."""
+    from loomspark.llm import linededup
+
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = letters(200)
+    edited = lambda x, n: "".join(rng.choice("abcdefghij") if i in places else c for places in [set(rng.sample(range(len(x)), n))] for i, c in enumerate(x))
+    texts = [edited(base, n) for n in (1, 2, 3, 4, 6, 8, 10, 12) for _ in range(12)] + [letters(150) for _ in range(30)]
+    found = linededup.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    lines = linededup.signatures(found).cache()
+    comp = {r.line: r.doc_id % 3 for r in found.collect()}
+    mixed = spark.createDataFrame(list(comp.items()), "line long, comp long")
+    got = [tuple(r) for r in linededup.cross_pairs(found.select("line", "norm"), lines, mixed, 0.8).collect()]
+    assert len(got) == len(set(got)) and all(a < b and comp[a] != comp[b] for a, b in got)
+    sets = {r.line: {r.norm[i : i + 5] for i in range(len(r.norm) - 4)} for r in found.collect()}
+    minima = {r.line: r.m for r in lines.select("line", F.array(*[linededup._minimum(j) for j in range(linededup.BINS)]).alias("m")).collect()}
+    agree = lambda a, b: sum(x == y for x, y in zip(minima[a], minima[b])) >= linededup.AGREE
+    want = {(a, b) for a in comp for b in comp if a < b and comp[a] != comp[b] and agree(a, b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(want) > 100 and want <= set(got) and all(agree(a, b) for a, b in got)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from loomspark.llm import common
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    files = lambda: set(glob.glob(f"{folder}/**/shuffle_*", recursive=True))
+    before = files()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert common.settle(rows).count() == common.stash(rows, "x").count() == 7
+    for _ in range(20):  # they are removed in the background
+        if left := {x for x in files() - before if x.endswith(".data")}:
+            time.sleep(0.5)
+    assert len(left) <= 2 and spark.conf.get(common.CLEANUP) == "false"  # the two counts' own
