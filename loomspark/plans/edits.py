@@ -38,7 +38,8 @@ PROGRAM = r"""concat('// tools.none\nconst patch = "*** Begin Patch\\n*** Update
     UNION ALL SELECT 'run', 'mcp__srv__', NULL WHERE message_index % 4 = 0) c""", *BASE, FACTS_SQL)
 def codex_exec_calls(spark, sf_dir):
     rows = Model(spark, sf_dir).facts.select(F.concat_ws("/", "ref", "message_index").alias("id"), calls.exec_calls(F.expr(PROGRAM)).alias("calls"))
-    each = rows.select("id", calls.output_target(F.transform("calls", lambda c: c["name"])).alias("at"), F.posexplode("calls").alias("n", "c"))
+    # the outer form: else Spark filters on the number of calls, for which each program would be read twice
+    each = rows.select("id", calls.output_target(F.transform("calls", lambda c: c["name"])).alias("at"), F.posexplode_outer("calls").alias("n", "c")).where("n is not null")
     return each.select("id", calls.own_name(F.col("c.name")).alias("name"), calls.namespace(F.col("c.name")).alias("namespace"), "c.args", (F.col("at") == F.col("n")).alias("target"))
 
 

@@ -6,6 +6,7 @@ import pytest
 
 from loomspark.functions.parts import with_part
 from loomspark.operators import builder, transcript
+from loomspark.plans.edits import QUERIES
 from loomspark.sources import pi
 
 
@@ -51,3 +52,9 @@ def test_assigned_events_are_read_by_column(spark):
     rows = builder.assigned(builder.events_of(said)).select("ref", "message")
     assert "FileScan parquet" in rows._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in rows.collect()] == [("r", 0)]
+
+
+def test_programs_are_read_once(spark):
+    rows = QUERIES["codex_exec_calls"](spark, "/root/testdata/sf0.001")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert rows.where("name is null or target is null").isEmpty()
